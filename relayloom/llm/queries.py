@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.common import table
+from relayloom.llm.simhash import simhash_classes
 from relayloom.llm.token_counts import token_counts
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,7 +26,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op5_bpe, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
