@@ -5,18 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.common import table
 from relayloom.llm.simhash import simhash_classes
 from relayloom.llm.token_counts import token_counts
+from relayloom.llm.toxicity import remainder, toxicity, train
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,7 +34,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op5_bpe, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
