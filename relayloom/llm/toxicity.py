@@ -2,7 +2,7 @@
 
 Tokens are runs of letters. Document labels become token labels on the training sample: a
 token of a toxic document is labelled toxic if one of its features (the word, its prefixes
-of 3 to 7 letters) stands in toxic documents so much more than by chance that the evidence
+of 4 to 7 letters) stands in toxic documents so much more than by chance that the evidence
 outweighs the number of features looked at; tokens of clean documents are labelled clean.
 A CRF is fitted to these sequences. Scoring runs forward-backward over the whole text; the marginals of
 the toxic state give the spans (adjoining tokens at 0.5 or more), and their sum and
@@ -32,7 +32,7 @@ from relayloom.llm.common import Cache, chunks, map_texts, two
 from relayloom.llm.simhash import shingle_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = range(3, 8)
+PREFIXES = range(4, 8)
 _CLIP = 60.0
 
 
