@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from relayloom.llm import pii
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.common import table
+from relayloom.llm.pii import pii_digests
 from relayloom.llm.simhash import simhash_classes
 from relayloom.llm.token_counts import token_counts
 from relayloom.llm.toxicity import remainder, toxicity, train
@@ -33,9 +35,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op5_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op5_bpe, op7_token_counts, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_pii": pii.oracle()}
