@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relayloom.llm import pii
 from relayloom.llm.bpe import bpe_digests
+from relayloom.llm.chat import format_turns, read_back
 from relayloom.llm.common import table
 from relayloom.llm.pii import pii_digests
 from relayloom.llm.simhash import simhash_classes
@@ -39,8 +40,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return read_back(format_turns(rows.unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op5_bpe, op7_token_counts, op9_pii)}
+    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op5_bpe, op7_token_counts, op9_pii, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
