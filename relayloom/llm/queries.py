@@ -11,6 +11,7 @@ from relayloom.llm import pii
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.chat import format_turns, read_back
 from relayloom.llm.common import table
+from relayloom.llm.media import media_digests
 from relayloom.llm.pii import pii_digests
 from relayloom.llm.simhash import simhash_classes
 from relayloom.llm.token_counts import token_counts
@@ -28,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op5_bpe, op7_token_counts, op9_pii, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_media, op5_bpe, op7_token_counts, op9_pii, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
