@@ -11,6 +11,7 @@ from relayloom.llm import pii
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.chat import format_turns, read_back
 from relayloom.llm.common import table
+from relayloom.llm.decontaminate import contamination
 from relayloom.llm.media import media_digests
 from relayloom.llm.pii import pii_digests
 from relayloom.llm.simhash import simhash_classes
@@ -37,6 +38,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only documents with a benchmark passage have rows."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_media, op5_bpe, op7_token_counts, op9_pii, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_media, op5_bpe, op6_decontaminate, op7_token_counts, op9_pii, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
