@@ -20,10 +20,12 @@ import json
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import Cache, map_texts
+from relayloom.llm.common import Cache, chunks, map_texts
 from relayloom.llm.token_counts import byte_chars
 
 # The split pattern of this family of byte-level vocabularies, with its white space spelled out.
@@ -149,6 +151,9 @@ class Encoder:
             at = m.end()
         return out + (self._plain(text[at:]) if at < len(text) else [])
 
+    def decode(self, ids: list[int]) -> str:
+        return self.vocabulary.decode(ids).decode("utf-8", "replace")
+
     def ids(self, text: str) -> list[int]:
         return [int(x) for p in self.parts(text) for x in p[0].split(",")]
 
@@ -172,13 +177,27 @@ def digest_texts(texts: list[str], path: str) -> dict[str, list]:
 
 def encode_texts(texts: list[str], path: str) -> dict[str, list]:
     enc = encoder(path)
-    ids = [enc.ids(t) for t in texts]
-    return {"ids": ids, "decoded": [enc.vocabulary.decode(x).decode("utf-8", "replace") for x in ids]}
+    listed = [",".join([p[0] for p in enc.parts(t)]) for t in texts]
+    ids = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in listed]
+    same = [enc.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+    return {"ids": ids, "n_tokens": list(map(len, ids)), "exact": same}
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array<int>) and the text they decode to."""
-    return map_texts(docs, lambda texts: encode_texts(texts, path), "ids array<int>, decoded string")
+    """doc_id, ids (array<int>), their number, and whether they decode to exactly the text."""
+    return map_texts(docs, functools.partial(encode_texts, path=path), "ids array<int>, n_tokens long, exact boolean")
+
+
+def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and text of rows (doc_id, ids); null ids give null."""
+    out = encoded.sparkSession.createDataFrame([], "doc_id long, text string").schema
+
+    def run(batches):
+        for part in chunks(batches):
+            texts = [None if x is None else encoder(path).decode(x) for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=out.names)
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, out)
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
