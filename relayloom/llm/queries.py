@@ -12,6 +12,7 @@ from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.chat import format_turns, read_back
 from relayloom.llm.common import table
 from relayloom.llm.decontaminate import contamination
+from relayloom.llm.licenses import license_scan
 from relayloom.llm.media import media_digests
 from relayloom.llm.pii import pii_digests
 from relayloom.llm.simhash import simhash_classes
@@ -47,6 +48,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files at source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_media, op5_bpe, op6_decontaminate, op7_token_counts, op9_pii, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_media, op5_bpe, op6_decontaminate, op7_token_counts, op8_licenses, op9_pii, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
