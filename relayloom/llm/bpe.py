@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import Cache, chunks, map_texts
+from relayloom.llm.common import Cache, chunks, live, map_texts
 from relayloom.llm.token_counts import byte_chars
 
 # The split pattern of this family of byte-level vocabularies, with its white space spelled out.
@@ -59,7 +59,7 @@ class Vocabulary:
         for s, i in vocab.items():
             self.found.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.found.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.fits(*p), 1_000_000)
+        self.pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.fits(*p), 300_000)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their joint bytes are encoded.
@@ -158,9 +158,8 @@ class Encoder:
         return [int(x) for p in self.parts(text) for x in p[0].split(",")]
 
 
-@functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return live(("bpe", path), lambda: Encoder(path))
 
 
 def digest_texts(texts: list[str], path: str) -> dict[str, list]:

@@ -64,6 +64,18 @@ class Cache(dict):
         return value
 
 
+_live: dict[tuple, object] = {}
+
+
+def live(key: tuple, make: Callable[[], object]):
+    """What `make` gives, kept until another key is asked for: a Python worker outlives its tasks, and
+    the caches of one operator must not stay beside those of the next."""
+    if key not in _live:
+        _live.clear()
+        _live[key] = make()
+    return _live[key]
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share; the cluster names it in spark.checkpoint.dir."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ import os
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import Cache, map_texts
+from relayloom.llm.common import Cache, live, map_texts
 
 OVER = 2048
 
@@ -68,9 +68,12 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(w for w, e in zip(words, found, strict=True) if e.ids == [words[w]])
 
 
-@functools.lru_cache(4)
 def counter(path: str) -> Cache:
     """Count of tokens by piece (bytes between white space)."""
+    return live(("counts", path), lambda: _counter(path))
+
+
+def _counter(path: str) -> Cache:
     tok, whole = load(path), whole_tokens(path)
 
     def merged(word: str) -> int:

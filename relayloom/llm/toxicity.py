@@ -21,14 +21,14 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import Cache, chunks, map_texts, two
+from relayloom.llm.common import Cache, chunks, live, map_texts, two
 from relayloom.llm.simhash import shingle_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,6 +50,9 @@ class Model:
     #: Score = logistic(curve . (1, log(1 + sum of marginals), largest marginal)).
     curve: tuple[float, float, float] = (-_CLIP, 0.0, 0.0)
 
+    #: Tells models apart, in whatever process they are.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
     def emission(self, word: str) -> float:
         get = self.weights.get
         x = self.bias + sum(get(f, 0.0) for f in features(word.lower()))
@@ -98,22 +101,20 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def _marks(words: list[list[str]], toxic: np.ndarray) -> tuple[list[str], set[str]]:
-    """Features seen in at least 3 toxic documents, and those that mark a token as toxic."""
-    seen = [Counter(), Counter()]
-    for ws, y in zip(words, toxic.tolist()):
-        seen[y].update({f for w in set(ws) for f in features(w)})
+def _marks(docs: list[np.ndarray], own: list[list[int]], known: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature: the number of toxic documents that have it, and whether it marks a token as toxic.
+
+    docs: the distinct words of each; own: the features of each word."""
+    seen = np.zeros((2, known), np.int64)
+    for ws, y in zip(docs, toxic.tolist()):
+        seen[y][list({f for w in ws.tolist() for f in own[w]})] += 1
     n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
     p = n1 / (n0 + n1)
-    known = sorted(f for f, a in seen[1].items() if a >= 3)
-    need = math.log(max(len(known), 1)) + 2
-    marks = set()
-    for f in known:
-        a, b = seen[1][f], seen[0][f]
-        gain = a * math.log(a / ((a + b) * p)) + (b * math.log(b / ((a + b) * (1 - p))) if b else 0)
-        if a / n1 > 20 * b / n0 and gain >= need:
-            marks.add(f)
-    return known, marks
+    b, a = seen
+    need = math.log(max(int((a >= 3).sum()), 1)) + 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = a * np.log(a / ((a + b) * p)) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - p))), 0)
+        return a, (a >= 3) & (a * n0 > 20 * b * n1) & (gain >= need)
 
 
 def _apart(texts: list[str]) -> list[int]:
@@ -135,22 +136,28 @@ def fit(texts: list[str], toxic: list[int], base_rate: float, steps: int = 40) -
     texts, y = [texts[k] for k in apart], np.array([toxic[k] for k in apart], np.int64)
     if not 0 < y.sum() < len(y):
         return Model()
-    words = [[w.lower() for w in WORD.findall(t)] for t in texts]
-    known, marks = _marks(words, y)
+    index: dict[str, int] = {}
+    number: dict[str, int] = {}
+    words = [np.array([index.setdefault(w.lower(), len(index)) for w in WORD.findall(t)], np.int64) for t in texts]
+    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in index]
+    distinct = [np.unique(w) for w in words]
+    often, marks = _marks(distinct, own, len(number), y)
     for _ in range(3):  # what the documents without a mark so far have in common stands out among them alone
-        bare = [k for k, ws in enumerate(words) if not y[k] or not any(f in marks for w in set(ws) for f in features(w))]
-        more = _marks([words[k] for k in bare], y[bare])[1] if y[bare].any() else set()
-        if not more:
+        marked = np.array([marks[x].any() for x in own], bool)
+        bare = [k for k, ws in enumerate(distinct) if not y[k] or not marked[ws].any()]
+        more = _marks([distinct[k] for k in bare], own, len(number), y[bare])[1] if y[bare].any() else np.zeros_like(marks)
+        if not more.any():
             break
         marks |= more
-    number = {f: k for k, f in enumerate(known)}
-    index: dict[str, int] = {}
-    token = np.array([index.setdefault(w, len(index)) for ws in words for w in ws], np.int64)
-    own = [[number[f] for f in features(w) if f in number] for w in index]
-    marked = np.array([any(f in marks for f in features(w)) for w in index], bool)
+    marked = np.array([marks[x].any() for x in own], bool)
+    place = np.full(len(number), -1)
+    place[often >= 3] = np.arange(int((often >= 3).sum()))
+    known = [f for f, n in zip(number, often.tolist()) if n >= 3]
+    own = [[int(place[f]) for f in x if place[f] >= 0] for x in own]
     of_word = np.repeat(np.arange(len(own)), [len(x) for x in own])
     of_feature = np.array([k for x in own for k in x], np.int64)
-    lengths = np.array([len(x) for x in words], np.int64)
+    del number, distinct
+    token, lengths = np.concatenate(words), np.array([len(w) for w in words], np.int64)
     doc = np.repeat(np.arange(len(words)), lengths)
     label = (marked[token] & (y[doc] == 1)).astype(float)
 
@@ -158,8 +165,12 @@ def fit(texts: list[str], toxic: list[int], base_rate: float, steps: int = 40) -
     gold = np.zeros(len(token))
     gold[lattice.where] = label
     starts = lattice.at
-    pair_a = np.concatenate([np.arange(starts[t], starts[t] + lattice.active[t + 1]) for t in range(len(lattice.active) - 1)] or [np.empty(0, np.int64)])
-    pair_b = np.arange(starts[1], starts[-1]) if len(starts) > 1 else np.empty(0, np.int64)
+    # The token before each: all but the first of a text, which come first in the lattice.
+    before = np.concatenate([np.arange(starts[t], starts[t] + n) for t, n in enumerate(lattice.active[1:])] or [np.empty(0, np.int64)]).astype(np.int32)
+    after = slice(int(lattice.active[0]) if len(lattice.active) else 0, None)
+    a, b = gold[before], gold[after]
+    true = [((1 - a) @ (1 - b)), (1 - a) @ b, a @ (1 - b), a @ b]
+    del a, b, words, doc, label
     theta = np.zeros(len(known) + 5)  # features, bias, moves
     theta[len(known)] = -2.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -172,12 +183,10 @@ def fit(texts: list[str], toxic: list[int], base_rate: float, steps: int = 40) -
         g = np.zeros_like(theta)
         g[: len(known)] = np.bincount(of_feature, off[of_word], len(known))
         g[len(known)] = off.sum()
-        x = e[pair_b] * back[pair_b]
-        joint = [moves[0, 0] * np.ones_like(x), moves[0, 1] * x, moves[1, 0] * ahead[pair_a], moves[1, 1] * ahead[pair_a] * x]
-        total = sum(joint)
-        a, b = gold[pair_a], gold[pair_b]
-        for k, true in enumerate(((1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b)):
-            g[len(known) + 1 + k] = (joint[k] / total - true).sum()
+        x, f = e[after] * back[after], ahead[before]
+        share = 1 / (moves[0, 0] + moves[0, 1] * x + moves[1, 0] * f + moves[1, 1] * f * x)
+        joint = [moves[0, 0] * share.sum(), moves[0, 1] * (x @ share), moves[1, 0] * (f @ share), moves[1, 1] * ((f * x) @ share)]
+        g[-4:] = np.array(joint) - true
         g += 0.5 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -226,15 +235,8 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-_held: dict[int, Cache] = {}
-
-
 def score_texts(texts: list[str], model: Model) -> dict[str, list]:
-    cache = _held.get(id(model))
-    if cache is None:
-        _held.clear()
-        cache = _held[id(model)] = Cache(model.emission, 400_000)
-        cache.model = model  # keeps it, and so its id
+    cache = live(("toxicity", model.key), lambda: Cache(model.emission, 200_000))
     p, lengths = _marginals(model, texts, cache)
     each = np.split(p, np.cumsum(lengths)[:-1]) if len(texts) else []
     c0, c1, c2 = model.curve
