@@ -82,51 +82,60 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def forest(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, row) that connect, within each group, just what pairs within `radius` connect.
 
-    words: fingerprints, (n, 64-bit words); group: their groups' numbers, ascending. A block
-    whose lanes all have the query's label already is skipped, so a dense group of n costs
-    little more than n, and at most n - 1 links come out of it.
+    words: fingerprints, (n, 64-bit words); group: their groups' numbers, ascending. Groups
+    stand side by side in the lanes, and a mask keeps a query to its own. A block whose lanes
+    all have the query's label already is skipped, so a dense group of n costs little more than n,
+    and at most n - 1 links come out of it.
     """
-    n = len(words)
-    if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+    if not len(words):
+        return nothing
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.r_[start, n])
-    blocks = -(-size // 64)
-    base = np.r_[0, np.cumsum(blocks)[:-1]]
-    g = np.repeat(np.arange(len(start)), size)
-    lane = base[g] * 64 + np.arange(n) - start[g]  # where each row stands when groups begin with a block
-    total = int(blocks.sum())
+    size = np.diff(np.r_[start, len(group)])
+    rows = np.flatnonzero(np.repeat(size > 1, size))  # a row alone has no link
+    if not len(rows):
+        return nothing
+    size = size[size > 1]
+    words, n = words[rows], len(rows)
+    group_end = np.repeat(np.cumsum(size), size)
+    total = -(-n // 64)
     bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-    spread = np.zeros((bits.shape[1], total * 64), np.uint8)
-    spread[:, lane] = bits.T
-    planes = np.packbits(spread, axis=1, bitorder="little").view(np.uint64)
+    lanes = np.zeros((bits.shape[1], total * 64), np.uint8)
+    lanes[:, :n] = bits.T
+    planes = np.packbits(lanes, axis=1, bitorder="little").view(np.uint64)
+    del lanes
     queries = np.where(bits.T != 0, FULL, np.uint64(0))
-    del spread, bits
-    row_at = np.full(total * 64, -1)
-    row_at[lane] = np.arange(n)
-    there = np.packbits(row_at >= 0, bitorder="little").view(np.uint64)
+    del bits
 
-    label, own = np.arange(n), lane // 64
-    count = base[g] + blocks[g] - own
+    label, own = np.arange(n), np.arange(n) // 64
+    count = (group_end - 1) // 64 - own + 1
     ends = np.cumsum(count)
     at = 0
     while at < n:
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + TILE, "right")))
         for q, block in _tiles(at, to, count, own):
-            full = there[block]
-            same = own[q] == block
-            valid = np.where(same, full & (FULL << (lane[q] % 64).astype(np.uint64)) & ~(np.uint64(1) << (lane[q] % 64).astype(np.uint64)), full)
-            alike = _uniform(label, row_at, total)
+            valid = np.where(own[q] == block, _above(q % 64), FULL) & _below(group_end[q] - block * 64)
+            alike = _uniform(label, total)
             keep = (valid != 0) & (alike[block] != label[q])
             q, block, mask = _near(planes, queries, q[keep], block[keep], valid[keep], radius)
             for k in range(0, len(q), 1 << 14):
                 hit, bit = np.nonzero(np.unpackbits(mask[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
                 if len(hit):
-                    _join(label, q[k + hit], row_at[block[k + hit] * 64 + bit])
+                    _join(label, q[k + hit], block[k + hit] * 64 + bit)
         at = to
     linked = np.flatnonzero(label != np.arange(n))
-    return label[linked], linked
+    return rows[label[linked]], rows[linked]
+
+
+def _above(lane: np.ndarray) -> np.ndarray:
+    """Masks of the lanes after each lane."""
+    return (FULL << lane.astype(np.uint64)) & ~(np.uint64(1) << lane.astype(np.uint64))
+
+
+def _below(count: np.ndarray) -> np.ndarray:
+    """Masks of the first count lanes, all from 64 on."""
+    return np.where(count >= 64, FULL, (np.uint64(1) << np.clip(count, 0, 63).astype(np.uint64)) - np.uint64(1))
 
 
 def _tiles(at: int, to: int, count: np.ndarray, own: np.ndarray):
@@ -141,10 +150,9 @@ def _tiles(at: int, to: int, count: np.ndarray, own: np.ndarray):
             yield q, own[q] + np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c)
 
 
-def _uniform(label: np.ndarray, row_at: np.ndarray, total: int) -> np.ndarray:
+def _uniform(label: np.ndarray, total: int) -> np.ndarray:
     """The label that all rows of a block have; -1 where they differ."""
-    lanes = row_at.reshape(total, 64)
-    got = label[np.maximum(lanes, 0)]
-    least = np.where(lanes >= 0, got, len(label)).min(1)
-    most = np.where(lanes >= 0, got, -1).max(1)
-    return np.where(least == most, least, -1)
+    padded = np.full(total * 64, label[-1])
+    padded[: len(label)] = label
+    lanes = padded.reshape(total, 64)
+    return np.where((lanes == lanes[:, :1]).all(1), lanes[:, 0], -1)

@@ -28,7 +28,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import chunks, two
+from relayloom.llm.common import chunks, small_batches, two
 
 WORD = re.compile(r"[^\W_]+")
 RATE = 0.06
@@ -194,6 +194,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
 
         return run
 
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark, rate):
         docs = docs.mapInArrow(keep(items), docs.schema)
     return docs

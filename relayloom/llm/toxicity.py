@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import Cache, chunks, live, map_texts, two
+from relayloom.llm.common import Cache, chunks, live, map_texts, small_batches, two
 from relayloom.llm.simhash import shingle_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -279,4 +279,5 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             scores = score_texts([x or "" for x in part.column("text").to_pylist()], model)["score"]
             yield part.filter(pa.array([s < 0.5 for s in scores]))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
