@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from relayloom.llm import pii
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.chat import format_turns, read_back
-from relayloom.llm.common import table
+from relayloom.llm.common import table, work_folder
 from relayloom.llm.decontaminate import contamination
 from relayloom.llm.licenses import license_scan
 from relayloom.llm.media import media_digests
 from relayloom.llm.pii import pii_digests
 from relayloom.llm.simhash import simhash_classes
 from relayloom.llm.token_counts import token_counts
+from relayloom.llm.token_files import token_file_digests, write_token_files
 from relayloom.llm.toxicity import remainder, toxicity, train
 
 
@@ -24,6 +25,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_file_digests(spark, folder)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -67,7 +74,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_media, op5_bpe, op6_decontaminate, op7_token_counts, op8_licenses, op9_pii, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_toxicity, op4_media, op5_bpe, op6_decontaminate, op7_token_counts, op8_licenses, op9_pii, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

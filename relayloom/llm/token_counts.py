@@ -25,9 +25,9 @@ from relayloom.llm.common import Cache, live, map_texts
 OVER = 2048
 
 #: Pieces of these characters are split here; the library gets any other piece as a whole.
-_PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
+PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
 # The pre-tokenizer pattern that the tokenizer file declares.
-_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def byte_chars() -> list[str]:
@@ -62,7 +62,7 @@ def whole_tokens(path: str) -> frozenset[str]:
                 word = bytes(back[c] for c in entry[: len(entry) - len(end)]).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if _PRE.fullmatch(word):
+            if PRE.fullmatch(word):
                 words[word] = i
     found = load(path).encode_batch(list(words), add_special_tokens=False)
     return frozenset(w for w, e in zip(words, found, strict=True) if e.ids == [words[w]])
@@ -81,9 +81,9 @@ def _counter(path: str) -> Cache:
 
     def count(piece: bytes) -> int:
         text = piece.decode()
-        if not _PLAIN.fullmatch(text) or "<|" in text:
+        if not PLAIN.fullmatch(text) or "<|" in text:
             return merged(text)
-        return sum(1 if p in whole else merged(p) for p in _PRE.findall(text.lower()))
+        return sum(1 if p in whole else merged(p) for p in PRE.findall(text.lower()))
 
     return Cache(count, 600_000)
 
