@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from relayloom.functions.headers import decode_strict, needs_parser
 from relayloom.functions.times import plus_millis, to_millis
@@ -175,7 +175,8 @@ def deliver(event: dict, handler: Callable[[dict], Result | None] | None, interc
 def handle(routed: DataFrame, handlers: dict[str, Callable[[dict], Result | None]], interceptors: Iterable[Interceptor] = ()) -> DataFrame:
     """routed with result, result_delay_ms and error; handlers run where the rows are, a batch at a time."""
     interceptors = list(interceptors)
-    schema = routed.schema.add("result", "string").add("result_delay_ms", "long").add("error", "string")
+    more = [T.StructField("result", T.StringType()), T.StructField("result_delay_ms", T.LongType()), T.StructField("error", T.StringType())]
+    schema = T.StructType([*routed.schema.fields, *more])
 
     def run(batches):
         for pdf in batches:
