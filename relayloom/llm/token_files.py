@@ -7,11 +7,14 @@ are coded side by side, one to a lane of numpy arrays.
 
 The model of a block, all in integers so that reading repeats writing exactly:
 * order 2 and order 1: tables of the id that last followed the last two ids and the last
-  id, with a confidence; each confidence has an adaptive hit probability;
-* the two are mixed in the logistic domain by weights that learn from each outcome (one set where they
-  agree, one where not), to the probability that order 2's id comes; what remains goes to
-  order 1's id by its own probability, and the rest to
-* order 0: adaptive counts of all ids, brought up to date at fixed places of a block.
+  id, with a confidence;
+* how often each confidence was right gives two probabilities, mixed in the logistic domain by
+  weights that learn from the outcomes (one set where the orders agree, one where not), to the probability that order 2's id comes; what
+  remains goes to order 1's id by its own probability, and the rest to
+* order 0: adaptive counts of 1024 slots (the low bits of an id), then whether it is the id that was last seen in that slot, else
+  its high bits.
+Tables change with every id; probabilities, weights and counts are brought up to date from
+all that was seen at fixed places of a block (`UPDATES`), which keeps steps short.
 
 A frame holds whole documents and all their blocks; frames are rows of a Parquet folder in the order of (part,
 seq), so files are written and read by Spark on whatever store it uses, task attempts are
@@ -37,86 +40,122 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from relayloom.llm.common import Cache, chunks, live, two
 from relayloom.llm.token_counts import PLAIN, PRE, load
 
-BLOCK = 8192
-LANES = 512
+BLOCK = 4096
+LANES = 1024
 END = 2
 MAGIC = b"RLT1"
-#: Order-0 counts are brought up to date here, in ids from a block's start.
-UPDATES = (384, 2048, 4608)
-GAIN = 64  # weight of an occurrence in the order-0 counts, beside 1 for every id
-BITS1, BITS2 = 12, 13
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_U16, _U48 = np.uint64(16), np.uint64(48)
+#: Probabilities and counts are brought up to date here, in ids from a block's start.
+UPDATES = (64, 256, 1024)
+GAIN = 8  # weight of an occurrence in the slot counts, beside 1 for every slot
+BITS1, BITS2, SLOT, CONFIDENCE = 10, 11, 10, 3
+SLOTS, LEVELS = 1 << SLOT, 1 << CONFIDENCE
+STATES = 2 * LEVELS * LEVELS  # order 2's confidence, order 1's, and whether they agree
+#: Bits of the scales of the three symbols of an id: which order, slot, and what is in the slot.
+SCALE, SLOT_SCALE, HIGH_SCALE = 16, 14, 12
+#: A range begins with 62 bits; when it is below 46, 16 bits of what has been added up are put out. That digit may be too
+#: large by a carry, which goes to the digits before it when the block ends.
+RANGE, SHORT = 1 << 62, 1 << 46
 
 #: Logistic functions in integers: stretch of a 12-bit probability, squash to 16 bits of -2047 .. 2047.
 _p = (np.arange(4096) + 0.5) / 4096
 STRETCH = np.rint(np.log(_p / (1 - _p)) * 256).clip(-2047, 2047).astype(np.int64)
 SQUASH = np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))).clip(48, 65536 - 96).astype(np.int64)
-_CONFIDENT = np.rint(65535 * np.array([0.03] + [(k + 0.3) / (k + 1.2) for k in range(1, 16)])).astype(np.int64)
+#: 12-bit hit probabilities of the confidences before anything was seen.
+_CONFIDENT = np.rint(4095 * np.array([0.05] + [(k + 0.3) / (k + 1.2) for k in range(1, LEVELS)])).astype(np.int64)
 
 
 class _Model:
-    """Predictions and their learning, for n lanes side by side."""
-
-    def __init__(self, lanes: int, vocabulary: int):
-        self.vocabulary, width = vocabulary, vocabulary + 1
-        self.table1 = np.zeros(lanes << BITS1, np.int64)
-        self.table2 = np.zeros(lanes << BITS2, np.int64)
-        self.hit1, self.hit2 = np.tile(_CONFIDENT, lanes), np.tile(_CONFIDENT, lanes)
-        self.weight2 = np.full(lanes * 2, 45000, np.int64)  # by lane and whether the orders agree
-        self.weight1 = np.tile(np.array([-12000, 30000], np.int64), lanes)
-        self.total = np.full(lanes, vocabulary, np.int64)
-        self.counts = np.tile(np.arange(width, dtype=np.int32), (lanes, 1))  # cumulative
-        self.flat = self.counts.reshape(-1)
+    """Predictions and their learning, for n lanes side by side; what a later step needs of an earlier one is in `seen`."""
+
+    def __init__(self, lanes: int, vocabulary: int, steps: int):
+        self.lanes, self.highs = lanes, -(-vocabulary >> SLOT)
+        self.table1, self.table2 = np.zeros(lanes << BITS1, np.int64), np.zeros(lanes << BITS2, np.int64)
+        slot = np.arange(SLOTS)
+        self.table0 = np.tile(np.where(slot < 512, slot + SLOTS, slot), lanes)
         lane = np.arange(lanes)
-        self.at1, self.at2, self.at_hit, self.at_weight, self.at_count = lane << BITS1, lane << BITS2, lane << 4, lane << 1, lane * width
+        self.at1, self.at2, self.at0, self.at_state, self.at_sum, self.rows = lane << BITS1, lane << BITS2, lane << SLOT, lane * STATES, lane * (SLOTS + 1), lane << 5
         self.last = self.before = np.zeros(lanes, np.int64)
+        self.weight2 = np.full((lanes, 2), 45000, np.int64)
+        self.weight1 = np.tile(np.array([-12000, 30000], np.int64), (lanes, 1))
+        self.states = np.zeros((3, lanes, STATES), np.int64)  # seen, order 2 right, order 1 (and not 2) right
+        self.in_slot = np.zeros((2, lanes), np.int64)  # ids left to order 0, and of these the slot's last
+        self.counts = np.zeros((lanes, SLOTS), np.int32)
+        self.seen = np.zeros((2, steps, lanes), np.int16)  # state; outcome: 0 other in slot, 1 slot's last, 2 order 1, 3 order 2
+        self._rates(lanes)
+
+    def _rates(self, n: int) -> None:
+        """Shares of the symbols from all that was seen in the first n lanes."""
+        seen, right2, right1 = (x[:n].reshape(n, LEVELS, LEVELS, 2) for x in self.states)
+        both1 = right1.copy()
+        both1[..., 1] += right2[..., 1]
+        p2 = ((right2.sum((2, 3)) << 12) + 2 * _CONFIDENT) // (seen.sum((2, 3)) + 2)
+        p1 = ((both1.sum((1, 3)) << 12) + 2 * _CONFIDENT) // (seen.sum((1, 3)) + 2)
+        p2, p1 = p2.clip(1, 4094), p1.clip(1, 4094)
+        self.s2, self.s1 = STRETCH[p2][:, :, None, None], STRETCH[p1][:, None, :, None]
+        mixed = (self.weight2[:n, None, None, :] * self.s2 + self.weight1[:n, None, None, :] * self.s1) >> 16
+        self.mixed = SQUASH[mixed.clip(-2047, 2047) + 2048]
+        rest = np.maximum(((65536 - 64 - self.mixed) * (p1[:, None, :, None] << 4)) >> 16, 16)
+        rest[..., 1] = 0
+        self.share2, self.share1 = self.mixed.reshape(-1), rest.reshape(-1)
+        left, last = self.in_slot[:, :n]
+        self.same = (((last << HIGH_SCALE) + (4 << 10)) // (left + 4)).clip(64, (1 << HIGH_SCALE) - 512)
+        self.high = ((1 << HIGH_SCALE) - self.same) // self.highs
+        total = SLOTS + GAIN * self.counts[:n].sum(1, keepdims=True)
+        part = ((self.counts[:n] * GAIN + 1) * ((1 << SLOT_SCALE) - SLOTS)) // total + 1
+        part[:, 0] += (1 << SLOT_SCALE) - part.sum(1)
+        sums = np.zeros((n, SLOTS + 1), np.int32)
+        np.cumsum(part, axis=1, out=sums[:, 1:])
+        self.sums = sums.reshape(-1).astype(np.int64)
+        self.fine = np.ascontiguousarray(sums[:, :SLOTS]).reshape(-1, 32)  # 32 slots a row, 32 rows a lane
+        self.coarse = np.ascontiguousarray(self.fine[:, 0]).reshape(n, 32)
+
+    def update(self, n: int, first: int, to: int, ids: np.ndarray) -> None:
+        """Take in steps first..to of the first n lanes; ids of these steps, steps x lanes."""
+        state, outcome = (x[first:to, :n].astype(np.int64) for x in self.seen)
+        lane = np.arange(n)
+        flat, size = state + lane * STATES, n * STATES
+        new = [np.bincount(flat[w].ravel(), minlength=size).reshape(n, STATES) for w in (slice(None), outcome == 3, outcome == 2)]
+        error = ((new[1] << 12) - new[0] * (self.mixed[:n].reshape(n, STATES) >> 4)).reshape(n, LEVELS, LEVELS, 2)
+        self.weight2[:n] += (((error * self.s2[:n]).sum((1, 2))) >> 10).clip(-16384, 16384)
+        self.weight1[:n] += (((error * self.s1[:n]).sum((1, 2))) >> 10).clip(-16384, 16384)
+        for total, x in zip(self.states, new):
+            total[:n] += x
+        self.in_slot[0, :n] += (outcome < 2).sum(0)
+        self.in_slot[1, :n] += (outcome == 1).sum(0)
+        k = (ids & (SLOTS - 1)) + (lane << SLOT)
+        self.counts[:n] += np.bincount(k.ravel(), minlength=n << SLOT).reshape(n, SLOTS).astype(np.int32)
+        self._rates(n)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes: order 2's id, order 1's id, and their shares of 65536."""
-        last, before = self.last[:n], self.before[:n]
-        self.i1 = self.at1[:n] + (last & ((1 << BITS1) - 1))
-        self.i2 = self.at2[:n] + ((before * 40503 + last * 2654435) >> 5 & ((1 << BITS2) - 1))
+        last = self.last[:n]
+        self.i1 = (last & ((1 << BITS1) - 1)) + self.at1[:n]
+        self.i2 = ((self.before[:n] * 40503 + last * 2654435) >> 5 & ((1 << BITS2) - 1)) + self.at2[:n]
         self.e1, self.e2 = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.c1, self.c2 = self.e1 >> 4, self.e2 >> 4
-        self.h1, self.h2 = self.at_hit[:n] + (self.e1 & 15), self.at_hit[:n] + (self.e2 & 15)
-        self.p1, self.p2 = self.hit1.take(self.h1), self.hit2.take(self.h2)
-        self.s1, self.s2 = STRETCH.take(self.p1 >> 4), STRETCH.take(self.p2 >> 4)
-        agree = self.c1 == self.c2
-        self.w = self.at_weight[:n] + agree
-        self.w1, self.w2 = self.weight1.take(self.w), self.weight2.take(self.w)
-        mixed = (self.w1 * self.s1 + self.w2 * self.s2) >> 16
-        self.mixed = SQUASH.take(mixed.clip(-2047, 2047) + 2048)
-        rest = np.maximum(((65536 - 64 - self.mixed) * self.p1) >> 16, 16)
-        rest[agree] = 0
-        return self.c2, self.c1, self.mixed, rest
-
-    def learn(self, n: int, ids: np.ndarray) -> None:
-        hit1, hit2 = self.c1 == ids, self.c2 == ids
-        error = (hit2 << 16) - self.mixed
-        self.weight1[self.w] = self.w1 + ((self.s1 * error) >> 14)
-        self.weight2[self.w] = self.w2 + ((self.s2 * error) >> 14)
-        self.hit1[self.h1] = self.p1 + (((hit1 * 65535) - self.p1) >> 4)
-        self.hit2[self.h2] = self.p2 + (((hit2 * 65535) - self.p2) >> 4)
-        fresh = ids << 4
-        self.table1[self.i1] = np.where(hit1, np.minimum(self.e1 + 1, fresh | 15), fresh)
-        self.table2[self.i2] = np.where(hit2, np.minimum(self.e2 + 1, fresh | 15), fresh)
+        self.c1, self.c2 = self.e1 >> CONFIDENCE, self.e2 >> CONFIDENCE
+        self.state = ((self.e2 & (LEVELS - 1)) << (CONFIDENCE + 1)) + ((self.e1 & (LEVELS - 1)) << 1) + (self.c1 == self.c2)
+        at = self.state + self.at_state[:n]
+        return self.c2, self.c1, self.share2.take(at), self.share1.take(at)
+
+    def slot_of(self, value: np.ndarray) -> np.ndarray:
+        """The slot whose part of the scale holds each value: the last one that doesn't begin above it."""
+        below = lambda rows: np.bitwise_count(np.packbits(rows <= value[:, None], axis=1).view(np.uint32)[:, 0]).astype(np.int64) - 1
+        row = below(self.coarse[: len(value)])
+        return (row << 5) + below(self.fine.take(self.rows[: len(value)] + row, axis=0))
+
+    def learn(self, n: int, t: int, ids: np.ndarray, at0: np.ndarray, outcome: np.ndarray) -> None:
+        self.seen[0, t, :n] = self.state
+        self.seen[1, t, :n] = outcome
+        fresh = ids << CONFIDENCE
+        most = fresh | (LEVELS - 1)
+        self.table1[self.i1] = np.where(self.c1 == ids, np.minimum(self.e1 + 1, most), fresh)
+        self.table2[self.i2] = np.where(outcome == 3, np.minimum(self.e2 + 1, most), fresh)
+        self.table0[at0] = ids
         self.before, self.last = self.last[:n], ids
 
-    def count(self, ids: np.ndarray) -> None:
-        """Take ids (lanes x steps) up into order 0; the lanes are the first ones."""
-        width = self.vocabulary
-        for first in range(0, len(ids), 16):
-            some = ids[first : first + 16]
-            new = np.zeros((len(some), width), np.int32)
-            np.add.at(new.reshape(-1), (some + (np.arange(len(some)) * width)[:, None]).ravel(), GAIN)
-            np.cumsum(new, axis=1, out=new)
-            self.counts[first : first + len(some), 1:] += new
-        self.total[: len(ids)] += GAIN * ids.shape[1]
-
 
 def _stretches(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(from, to, lanes): steps between which neither the lanes nor the order-0 counts change."""
+    """(from, to, lanes): steps between which neither the lanes nor the shares change."""
     cuts = sorted({0, *(u for u in UPDATES if u < lengths[0]), *lengths.tolist()})
     for a, b in zip(cuts, cuts[1:]):
         yield a, b, int((lengths > a).sum())
@@ -125,144 +164,116 @@ def _stretches(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Payloads of blocks, the longest first."""
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), int(lengths[0])), np.int64)
+    by_step = np.zeros((int(lengths[0]), len(blocks)), np.int64)
     for k, b in enumerate(blocks):
-        ids[k, : len(b)] = b
-    by_step = np.ascontiguousarray(ids.T)
-    model = _Model(len(blocks), vocabulary)
-    low, span = np.zeros(len(blocks), np.uint64), np.full(len(blocks), (1 << 64) - 1, np.uint64)
-    out = np.zeros((len(blocks), ids.shape[1] * 3 + 8), np.uint16)
-    place = out.shape[1] * np.arange(len(blocks))
-    end, flat = place.copy(), out.reshape(-1)
-    done = 0
+        by_step[: len(b), k] = b
+    model = _Model(len(blocks), vocabulary, len(by_step))
+    low, span = np.zeros(len(blocks), np.int64), np.full(len(blocks), RANGE)
+    out = np.zeros((len(blocks), len(by_step) * 3 + 8), np.uint32)
+    start = out.shape[1] * np.arange(len(blocks))
+    end, stop, flat, done = start.copy(), start.copy(), out.reshape(-1), 0
     for first, to, n in _stretches(lengths):
         if first in UPDATES:
-            model.count(ids[:n, done:first])
+            model.update(n, done, first, by_step[done:first, :n])
             done = first
-        low, span, end = low[:n], span[:n], end[:n]  # views: what has ended stays behind, see below
-        total = model.total[:n].view(np.uint64)
+        low, span, end = low[:n], span[:n], end[:n]
+        at_sum, at0, same, high = model.at_sum[:n], model.at0[:n], model.same[:n], model.high[:n]
         for t in range(first, to):
             x = by_step[t, :n]
             c2, c1, f2, f1 = model.predict(n)
             second = c2 == x
             other = (c1 == x) & ~second
-            r = span >> _U16
+            both = f2 + f1
             literal = ~(second | other)
-            below = np.where(second, 0, f2) + np.where(literal, f1, 0)
-            share = np.where(second, f2, np.where(other, f1, 65536 - f2 - f1))
-            low += r * below.view(np.uint64)
-            np.multiply(r, share.view(np.uint64), out=span)
-            k = np.flatnonzero(literal)
-            if len(k):
-                at = model.at_count[k] + x[k]
-                a, b = model.flat.take(at).astype(np.uint64), model.flat.take(at + 1).astype(np.uint64)
-                r = span[k] // total[k]
-                low[k] += r * a
-                span[k] = r * (b - a)
-            _shift_out(low, span, end, flat)
-            model.learn(n, x)
+            below = np.where(literal, both, np.where(second, 0, f2))
+            share = np.where(literal, 65536 - both, np.where(second, f2, f1))
+            r = span >> SCALE
+            low += r * below
+            np.multiply(r, share, out=span)
+            slot = x & (SLOTS - 1)
+            at = at_sum + slot
+            a = model.sums.take(at)
+            share = np.where(literal, model.sums.take(at + 1) - a, 1 << SLOT_SCALE)
+            r = span >> SLOT_SCALE
+            low += r * (a * literal)
+            np.multiply(r, share, out=span)
+            at = at0 + slot
+            known = (model.table0.take(at) == x) & literal
+            below = np.where(known | ~literal, 0, same + (x >> SLOT) * high)
+            share = np.where(known, same, np.where(literal, high, 1 << HIGH_SCALE))
+            r = span >> HIGH_SCALE
+            low += r * below
+            np.multiply(r, share, out=span)
+            while len(k := np.flatnonzero(span < SHORT)):
+                at, l = end[k], low[k]
+                flat[at] = l >> 46
+                end[k] = at + 1
+                low[k] = (l & (SHORT - 1)) << 16
+                span[k] <<= 16
+            model.learn(n, t, x, at0 + slot, known + other * 2 + second * 3)
         for k in np.flatnonzero(lengths[:n] == to):
-            for shift in (48, 32, 16, 0):
-                flat[end[k]] = int(low[k]) >> shift & 0xFFFF
+            for shift in (46, 30, 14):
+                flat[end[k]] = int(low[k]) >> shift & (0x1FFFF if shift == 46 else 0xFFFF)
                 end[k] += 1
-            place[k] = end[k]
-    starts = out.shape[1] * np.arange(len(blocks))
-    return [flat[a:b].tobytes() for a, b in zip(starts, place)]
-
-
-def _shift_out(low: np.ndarray, span: np.ndarray, end: np.ndarray, flat: np.ndarray) -> None:
-    """Put out 16 bits wherever they are settled, or the range is too short."""
-    while True:
-        settled = (low ^ (low + span)) < TOP
-        short = span < BOTTOM
-        k = np.flatnonzero(settled | short)
-        if not len(k):
-            return
-        l, s = low[k], span[k]
-        cut = short[k] & ~settled[k]
-        if cut.any():
-            s = np.where(cut, (np.uint64(0) - l) & (BOTTOM - np.uint64(1)), s)
-        at = end[k]
-        flat[at] = l >> _U48
-        end[k] = at + 1
-        low[k], span[k] = l << _U16, s << _U16
+            flat[end[k]] = int(low[k]) << 2 & 0xFFFF
+            stop[k] = end[k] + 1
+    for t in range(int((stop - start).max()) - 1, 0, -1):
+        out[:, t - 1] += out[:, t] >> 16
+    return [flat[a:b].astype(np.uint16).tobytes() for a, b in zip(start, stop)]
 
 
 def decode_blocks(payloads: list[bytes], lengths: np.ndarray, vocabulary: int) -> np.ndarray:
     """Ids (blocks x longest) of payloads, the longest block first."""
-    ids = np.zeros((len(payloads), int(lengths[0])), np.int64)
     by_step = np.zeros((int(lengths[0]), len(payloads)), np.int64)
-    model = _Model(len(payloads), vocabulary)
+    model = _Model(len(payloads), vocabulary, len(by_step))
     width = max(len(p) for p in payloads) // 2 + 8
     digits = np.zeros((len(payloads), width), np.uint16)
     for k, p in enumerate(payloads):
         digits[k, : len(p) // 2] = np.frombuffer(p, np.uint16)
-    flat = digits.reshape(-1)
-    end = width * np.arange(len(payloads)) + 4
-    stop = width * np.arange(1, len(payloads) + 1) - 1
-    low, span = np.zeros(len(payloads), np.uint64), np.full(len(payloads), (1 << 64) - 1, np.uint64)
-    code = np.zeros(len(payloads), np.uint64)
-    for k in range(4):
-        code = code << _U16 | digits[:, k]
-    steps = vocabulary.bit_length()
-    done = 0
+    # A range has 14 bits and three digits: all moves by two bits, so that digits can be taken in whole.
+    digits[:, 1:] = digits[:, 1:] >> 2 | digits[:, :-1] << 14
+    digits[:, 0] >>= 2
+    flat, done = digits.reshape(-1), 0
+    end, stop = width * np.arange(len(payloads)) + 4, width * np.arange(1, len(payloads) + 1) - 1
+    span = np.full(len(payloads), RANGE)
+    code = digits[:, 0].astype(np.int64) << 48 | digits[:, 1].astype(np.int64) << 32 | digits[:, 2].astype(np.int64) << 16 | digits[:, 3]
     for first, to, n in _stretches(lengths):
         if first in UPDATES:
-            ids[:n, done:first] = by_step[done:first, :n].T
-            model.count(ids[:n, done:first])
+            model.update(n, done, first, by_step[done:first, :n])
             done = first
-        low, span, end, code = low[:n], span[:n], end[:n], code[:n]
-        total = model.total[:n].view(np.uint64)
+        span, end, code, stop = span[:n], end[:n], code[:n], stop[:n]
+        at_sum, at0, same, high = model.at_sum[:n], model.at0[:n], model.same[:n], model.high[:n]
         for t in range(first, to):
             c2, c1, f2, f1 = model.predict(n)
-            r = span >> _U16
-            value = np.minimum((code - low) // r, np.uint64(65535)).view(np.int64)
-            second = value < f2
-            literal = value >= f2 + f1
-            below = np.where(second, 0, f2) + np.where(literal, f1, 0)
-            share = np.where(second, f2, np.where(literal, 65536 - f2 - f1, f1))
-            low += r * below.view(np.uint64)
-            np.multiply(r, share.view(np.uint64), out=span)
-            x = np.where(second, c2, c1)
-            k = np.flatnonzero(literal)
-            if len(k):
-                r = span[k] // total[k]
-                value = np.minimum((code[k] - low[k]) // r, total[k] - np.uint64(1)).astype(np.int32)
-                base = model.at_count[k]
-                found = base.copy()  # place of the last count not above value
-                step = 1 << (steps - 1)
-                last = base + (vocabulary - 1)
-                while step:
-                    ahead = np.minimum(found + step, last)
-                    found = np.where(model.flat.take(ahead) <= value, ahead, found)
-                    step >>= 1
-                a, b = model.flat.take(found).astype(np.uint64), model.flat.take(found + 1).astype(np.uint64)
-                low[k] += r * a
-                span[k] = r * (b - a)
-                x[k] = found - base
-            _shift_in(low, span, code, end, flat, stop)
-            model.learn(n, x)
+            both = f2 + f1
+            r = span >> SCALE
+            value = np.minimum(code // r, 65535)
+            second, literal = value < f2, value >= both
+            code -= r * np.where(literal, both, np.where(second, 0, f2))
+            np.multiply(r, np.where(literal, 65536 - both, np.where(second, f2, f1)), out=span)
+            r = span >> SLOT_SCALE
+            slot = model.slot_of(np.minimum(code // r, (1 << SLOT_SCALE) - 1).astype(np.int32))
+            at = at_sum + slot
+            a = model.sums.take(at)
+            code -= r * (a * literal)
+            np.multiply(r, np.where(literal, model.sums.take(at + 1) - a, 1 << SLOT_SCALE), out=span)
+            r = span >> HIGH_SCALE
+            value = np.minimum(code // r, (1 << HIGH_SCALE) - 1)
+            known = (value < same) & literal
+            top = np.minimum((value - same) // high, model.highs - 1)
+            code -= r * np.where(known | ~literal, 0, same + top * high)
+            np.multiply(r, np.where(known, same, np.where(literal, high, 1 << HIGH_SCALE)), out=span)
+            x = np.where(literal, np.where(known, model.table0.take(at0 + slot), (top << SLOT) + slot), np.where(second, c2, c1))
+            while len(k := np.flatnonzero(span < SHORT)):
+                at = end[k]
+                code[k] = code[k] << 16 | flat[np.minimum(at, stop[k])]  # damaged payloads may ask for more than there is
+                end[k] = at + 1
+                span[k] <<= 16
+            model.learn(n, t, x, at0 + (x & (SLOTS - 1)), known + (~literal & ~second) * 2 + second * 3)
             by_step[t, :n] = x
     return by_step.T
 
 
-def _shift_in(low, span, code, end, flat, stop) -> None:
-    while True:
-        settled = (low ^ (low + span)) < TOP
-        short = span < BOTTOM
-        k = np.flatnonzero(settled | short)
-        if not len(k):
-            return
-        l, s = low[k], span[k]
-        cut = short[k] & ~settled[k]
-        if cut.any():
-            s = np.where(cut, (np.uint64(0) - l) & (BOTTOM - np.uint64(1)), s)
-        at = np.minimum(end[k], stop[k])  # damaged payloads may ask for more than there is
-        code[k] = code[k] << _U16 | flat[at]
-        end[k] = at + 1
-        low[k], span[k] = l << _U16, s << _U16
-
-
 # Frames: MAGIC, CRC-32 of what follows; documents, blocks, vocabulary; for each document its id, whether it has one,
 # and its number of ids; for each block its number of ids, payload bytes and the CRC-32 of its ids; the payloads.
 _HEAD = struct.Struct("<4sI")
@@ -333,9 +344,13 @@ class Tokens:
         return b"".join([self.words[w] for w in PRE.findall(text.lower())])
 
     def _learn(self, pieces: set[bytes]) -> None:
-        new = (p.decode() for p in pieces if p not in self.pieces and p not in self.pieces.old)
-        words = list({w for t in new if PLAIN.fullmatch(t) and "<|" not in t for w in PRE.findall(t.lower())})
-        words = [w for w in words if w not in self.words and w not in self.words.old]
+        new = []
+        for piece in pieces:
+            if piece not in self.pieces and piece not in self.pieces.old:
+                text = piece.decode()
+                if PLAIN.fullmatch(text) and "<|" not in text:
+                    new.append((piece, PRE.findall(text.lower())))
+        words = [w for w in {w for _, found in new for w in found} if w not in self.words and w not in self.words.old]
         for at in range(0, len(words), 100_000):
             some = words[at : at + 100_000]
             joined = [" ".join(some[k : k + 1000]) for k in range(0, len(some), 1000)]
@@ -345,6 +360,9 @@ class Tokens:
                 raise ValueError("this vocabulary marks no word ends")
             for w, a, b in zip(some, cuts, cuts[1:]):
                 self.words.put(w, raw[a:b])
+        get, put = self.words.__getitem__, self.pieces.put
+        for piece, found in new:
+            put(piece, get(found[0]) if len(found) == 1 else b"".join(map(get, found)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode().split() for t in texts]
