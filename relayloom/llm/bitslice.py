@@ -35,12 +35,17 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def _near(planes: np.ndarray, queries: np.ndarray, q: np.ndarray, block: np.ndarray, valid: np.ndarray, radius: int):
+def _mask(words: np.ndarray, b: int) -> np.ndarray:
+    """All ones where bit b is set."""
+    return np.uint64(0) - (words[:, b // 64] >> np.uint64(b % 64) & np.uint64(1))
+
+
+def _near(planes: np.ndarray, words: np.ndarray, q: np.ndarray, block: np.ndarray, valid: np.ndarray, radius: int):
     """The (query, block, mask of lanes within radius) that remain."""
     low = [np.zeros(len(q), np.uint64) for _ in range(3)]
     high: list[np.ndarray] = []
     for first in range(0, len(planes), 8):
-        d = [planes[b][block] ^ queries[b][q] for b in range(first, first + 8)]
+        d = [planes[b][block] ^ _mask(words, b)[q] for b in range(first, first + 8)]
         ones, twos_a = _add(low[0], d[0], d[1])
         ones, twos_b = _add(ones, d[2], d[3])
         twos, fours_a = _add(low[1], twos_a, twos_b)
@@ -104,7 +109,6 @@ def forest(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarra
     lanes[:, :n] = bits.T
     planes = np.packbits(lanes, axis=1, bitorder="little").view(np.uint64)
     del lanes
-    queries = np.where(bits.T != 0, FULL, np.uint64(0))
     del bits
 
     label, own = np.arange(n), np.arange(n) // 64
@@ -118,7 +122,7 @@ def forest(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarra
             valid = np.where(own[q] == block, _above(q % 64), FULL) & _below(group_end[q] - block * 64)
             alike = _uniform(label, total)
             keep = (valid != 0) & (alike[block] != label[q])
-            q, block, mask = _near(planes, queries, q[keep], block[keep], valid[keep], radius)
+            q, block, mask = _near(planes, words, q[keep], block[keep], valid[keep], radius)
             for k in range(0, len(q), 1 << 14):
                 hit, bit = np.nonzero(np.unpackbits(mask[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
                 if len(hit):

@@ -39,9 +39,9 @@ from relayloom.llm.components import components
 
 BUCKET = 4096
 SMALLEST = 8
-#: Bits, of 256, that texts of similarity 0.8 differ in: the mean, 64 * 4 * acos(2 * 0.8 / 1.8) / pi = 38.8, and a
-#: standard deviation of 5.7 more.
-NEAR_256 = 44
+#: Words of 64 bits of a wide fingerprint, and the bits in which texts of similarity 0.8 differ at most: the
+#: mean, 1024 * acos(2 * 0.8 / 1.8) / pi = 155, and two standard deviations of 11.5.
+WIDE, NEAR_WIDE = 16, 178
 _GOLDEN = 0x9E3779B97F4A7C15  # fixed value: 2^64 over the golden ratio
 
 
@@ -69,13 +69,20 @@ def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """Of each bit, in how many hashes it is set. Up to 255 rows are added eight columns to a word."""
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+    whole = len(bits) // 255 * 255
+    sums = [bits[:whole].reshape(-1, 255, 8).sum(1), bits[whole:].sum(0, keepdims=True)]
+    return sum(x.view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64) for x in sums)
+
+
 def fingerprint(hashes: np.ndarray, words64: int = 1) -> np.ndarray:
     out = np.zeros(words64, np.uint64)
     for k in range(words64):
         count = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 1 << 14):
-            bits = np.unpackbits(_spread(hashes[at : at + (1 << 14)], k).view(np.uint8), bitorder="little")
-            count += bits.reshape(-1, 64).sum(0, dtype=np.int64)
+            count += _ones(_spread(hashes[at : at + (1 << 14)], k))
         out[k] = np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
     return out
 
@@ -130,7 +137,7 @@ def link_runs(radius: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(x.num_rows for x in held) >= 20_000:
+            if sum(x.num_rows for x in held) >= 10_000:
                 rows = pa.Table.from_batches(held)
                 k = [rows[c].to_numpy() for c in ("t", "key", "part")]
                 cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0))
@@ -188,13 +195,13 @@ def simhash_classes(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     return rows.join(classes, "bits", "left").select("doc_id", _hex(F.col("bits"), 1).alias("fingerprint"), "component_id")
 
 
-def near_classes(docs: DataFrame, words: int = 5, radius: int = NEAR_256, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (64 hex digits), component_id: 256 bits, for texts whose shingles are 0.8 or more alike."""
-    rows, classes = _classes(docs, words, 4, True, radius, bucket)
-    return rows.select("doc_id", "bits").join(classes, "bits", "left").select("doc_id", _hex(F.col("bits"), 4).alias("fingerprint"), "component_id")
+def near_classes(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint (256 hex digits), component_id: 1024 bits, for texts whose shingles are 0.8 or more alike."""
+    rows, classes = _classes(docs, words, WIDE, True, radius, bucket)
+    return rows.select("doc_id", "bits").join(classes, "bits", "left").select("doc_id", _hex(F.col("bits"), WIDE).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = NEAR_256) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE) -> DataFrame:
     """The rows of docs, with all columns, whose doc_id is the smallest of its class (rows without an id stay)."""
     gone = near_classes(two(docs), words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
