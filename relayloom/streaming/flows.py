@@ -15,6 +15,7 @@ from relayloom.operators import dispatch, ingest, transitions
 from relayloom.operators.routing import Routes, route
 from relayloom.schema import EVENTS
 from relayloom.sources.store import EventStore
+from relayloom.streaming.exporters import OF_ACTION, Exporter
 
 
 def feed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -38,7 +39,8 @@ class InFlight(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "at_ms long")
+        # Twice the ttl after its last use a key is of no more interest; Spark drops it.
+        self.taken = handle.getValueState("taken", "at_ms long", 2 * self.ttl_ms if self.ttl_ms > 0 else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         got = []
@@ -56,7 +58,7 @@ class InFlight(StatefulProcessor):
 
 
 def tracked(requests: DataFrame, ttl_ms: int) -> DataFrame:
-    return requests.groupBy("event_id").transformWithStateInPandas(InFlight(ttl_ms), "event_id string, at_ms long", "append", "none")
+    return requests.groupBy("event_id").transformWithStateInPandas(InFlight(ttl_ms), "event_id string, at_ms long", "append", "processingTime" if ttl_ms > 0 else "none")
 
 
 @dataclass
@@ -104,6 +106,36 @@ def writer_only(retention: timedelta | None = None) -> Config:
     return Config(hot=False, mode=None, retention=retention, purge_by_age=True)
 
 
+_UNITS = {"ms": 1e-3, "s": 1, "m": 60, "h": 3600, "d": 86400}
+
+
+def _duration(text: str) -> timedelta:
+    number = text.rstrip("smhd")
+    return timedelta(seconds=float(number) * _UNITS[text[len(number) :] or "ms"])
+
+
+def from_properties(properties: dict[str, str]) -> Config:
+    """A configuration from text settings: mode (single-node, multi-node, ordered, writer-only), and any
+    field of Config in lower-case words joined by hyphens; durations as 500ms, 5s, 3m, 2h or 7d."""
+    rest = dict(properties)
+    make = {"single-node": single_node, "multi-node": multi_node, "ordered": ordered, "writer-only": writer_only}
+    mode = rest.pop("mode", "single-node")
+    if mode not in make:
+        raise ValueError(f"no such mode: {mode}")
+    given = {}
+    for name, text in rest.items():
+        name = name.replace("-", "_")
+        default = Config.__dataclass_fields__.get(name)
+        if default is None or name in ("hot", "mode"):
+            raise ValueError(f"no such setting: {name}")
+        kind = str(default.type)
+        given[name] = _duration(text) if "timedelta" in kind else int(text) if kind == "int" else text == "true" if kind == "bool" else text
+    try:
+        return make[mode](**given)
+    except TypeError as e:
+        raise ValueError(f"not a setting of {mode}: {e}") from e
+
+
 @dataclass
 class Stack:
     """A store with its configuration; stacks of several databases stand side by side."""
@@ -114,6 +146,7 @@ class Stack:
     handlers: dict[str, Callable] = field(default_factory=dict)
     interceptors: list[dispatch.Interceptor] = field(default_factory=list)
     hooks: list[ingest.WriterHook] = field(default_factory=list)
+    exporter: Exporter = field(default_factory=Exporter)
 
     def listener(self, event_type: object, aggregate_type: object = "__GLOBAL__"):
         """Decorator: register a function as the listener of a pair."""
@@ -151,9 +184,13 @@ class Stack:
         broken = failed.select("event_id", F.lit(0).cast("long").alias("seq"), F.lit("dead").alias("action"), at.alias("at"), F.lit(None).cast("timestamp_ntz").alias("next_at"), F.col("decode_error").alias("error"))
         # Handlers have effects, so what they answered is fixed before it is used: a batch, bounded by `room`.
         commands = spark.createDataFrame(dispatch.outcomes(sound, now, c.max_attempts).unionByName(broken).collect(), transitions.COMMANDS)
-        n = commands.count()
+        ends = {r.action: r["count"] for r in commands.groupBy("action").count().collect()}
+        n = sum(ends.values())
         if n:
             self.store.apply(commands)
+        self.exporter.add("cold_enqueued", n)
+        for action, count in ends.items():
+            self.exporter.add(OF_ACTION[action], count)
         return n
 
     def purge(self, now: datetime) -> int:
@@ -161,6 +198,18 @@ class Stack:
             return 0
         return self.store.purge(now - self.config.retention, None, self.config.purge_by_age)
 
+    def start_purge(self, checkpoint: str, every: timedelta = timedelta(hours=1), clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)) -> StreamingQuery:
+        """Purges at an interval, the first time after one interval has passed."""
+        begun = clock()
+        ticks = self.store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+        def run(_, __):
+            now = clock()
+            if now - begun >= every:
+                self.purge(now)
+
+        return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every.total_seconds()} seconds").start()
+
     def drain(self, now, most: int = 1000) -> int:
         """Cycles until nothing is due."""
         total = 0

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from relayloom.schema import ENVELOPES, EVENTS
 from relayloom.sources import jdbc
 from relayloom.sources.store import EventStore
 from relayloom.streaming import flows
+from relayloom.streaming.exporters import ProgressListener, Recorder, observed
 
 T0 = datetime(2024, 1, 10, 12)
 
@@ -140,6 +142,34 @@ def test_configurations():
     assert flows.ordered().max_attempts == 1 and flows.writer_only(timedelta(days=1)).purge_by_age
 
 
+def test_properties():
+    c = flows.from_properties({"mode": "multi-node", "owner": "n1", "batch": "7", "lock-timeout": "90s", "interval": "250ms", "retention": "7d", "purge-by-age": "true"})
+    assert (c.mode, c.owner, c.batch, c.lock_timeout, c.interval, c.retention, c.purge_by_age) == ("claim", "n1", 7, timedelta(seconds=90), timedelta(milliseconds=250), timedelta(days=7), True)
+    assert flows.from_properties({}) == flows.single_node() and flows.from_properties({"mode": "ordered"}).workers == 1
+    for bad in ({"mode": "x"}, {"colour": "red"}, {"mode": "writer-only", "batch": "3"}, {"hot": "true"}):
+        with pytest.raises(ValueError):
+            flows.from_properties(bad)
+
+
+def test_exporter(spark, tmp_path):
+    s = stack(spark, tmp_path / "t", flows.single_node(), exporter=Recorder())
+    s.listener("made")(lambda e: 1 / 0 if e["event_id"] == "e001" else None)
+    s.write(envelopes(spark, 3), T0)
+    s.cycle(T0 + timedelta(minutes=1))
+    assert {k: v for k, v in s.exporter.counters.items() if v} == {"cold_enqueued": 3, "dispatch_success": 2, "dispatch_failure": 1}
+    listener = ProgressListener(Recorder())
+    spark.streams.addListener(listener)
+    spark.createDataFrame([("done",), ("dead",), ("done",)], "action string").write.parquet(str(tmp_path / "in"))
+    q = observed(spark.readStream.schema("action string").parquet(str(tmp_path / "in"))).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    for _ in range(50):
+        if listener.exporter.counters["dispatch_success"]:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert (listener.exporter.counters["dispatch_success"], listener.exporter.counters["dispatch_dead"]) == (2, 1)
+
+
 def test_dialects():
     assert jdbc.dialect_of("JDBC:MySQL://x").name == jdbc.dialect_of("jdbc:tidb://x").name == "mysql"
     assert jdbc.dialect("PostgreSQL").insert("t").count("jsonb") == 2 and jdbc.dialect("h2").insert("t", 2).count("?") == 30
