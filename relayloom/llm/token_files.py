@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from relayloom.llm.common import Cache, chunks, live, two
-from relayloom.llm.token_counts import PLAIN, PRE, load
+from relayloom.llm.token_counts import PRE, load
 
 BLOCK = 4096
 LANES = 1024
@@ -319,8 +320,12 @@ def read_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(x) if y else None for x, y in zip(doc_ids, there)], lengths, ids
 
 
+#: Texts of these characters are split here; the library gets any other text as a whole.
+_PLAIN_TEXT = regex.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*+")
+
+
 class Tokens:
-    """Ids, as bytes, of pieces of text between white space, which this tokenizer drops.
+    """Ids, as bytes, of pre-tokens; what is between them is white space, which this tokenizer drops.
 
     The library encodes what is new in a batch of texts in one go: pre-tokens joined by blanks,
     whose ids are told apart by the word-end mark that the last token of each has."""
@@ -331,28 +336,15 @@ class Tokens:
         for entry, i in self.library.get_vocab().items():
             ends[i] = entry.endswith("</w>")
         self.ends = ends
-        self.pieces = Cache(self._piece, 500_000)
-        self.words = Cache(self._direct, 250_000)
-
-    def _direct(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if not PLAIN.fullmatch(text) or "<|" in text:
-            return self._direct(text)
-        return b"".join([self.words[w] for w in PRE.findall(text.lower())])
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        new = []
-        for piece in pieces:
-            if piece not in self.pieces and piece not in self.pieces.old:
-                text = piece.decode()
-                if PLAIN.fullmatch(text) and "<|" not in text:
-                    new.append((piece, PRE.findall(text.lower())))
-        words = [w for w in {w for _, found in new for w in found} if w not in self.words and w not in self.words.old]
-        for at in range(0, len(words), 100_000):
-            some = words[at : at + 100_000]
+        self.words = Cache(self._whole, 600_000)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.words and w not in self.words.old]
+        for at in range(0, len(new), 100_000):
+            some = new[at : at + 100_000]
             joined = [" ".join(some[k : k + 1000]) for k in range(0, len(some), 1000)]
             ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint16)
             raw, cuts = ids.tobytes(), np.r_[0, 2 * (np.flatnonzero(self.ends[ids]) + 1)].tolist()
@@ -360,15 +352,13 @@ class Tokens:
                 raise ValueError("this vocabulary marks no word ends")
             for w, a, b in zip(some, cuts, cuts[1:]):
                 self.words.put(w, raw[a:b])
-        get, put = self.words.__getitem__, self.pieces.put
-        for piece, found in new:
-            put(piece, get(found[0]) if len(found) == 1 else b"".join(map(get, found)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        self._learn(set().union(*split))
-        get = self.pieces.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), np.uint16) for x in split]
+        plain = [_PLAIN_TEXT.fullmatch(t) is not None and "<|" not in t for t in texts]
+        split = [PRE.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
+        self._learn(set().union(*(x for x in split if x)))
+        get = self.words.__getitem__
+        return [np.frombuffer(self._whole(t) if x is None else b"".join(map(get, x)), np.uint16) for t, x in zip(texts, split)]
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
