@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from relayloom.llm.common import chunks, small_batches, two
 
 WORD = re.compile(r"[^\W_]+")
-RATE = 0.06
-BLOCK_CHARS = 32 << 20
+RATE = 0.08
+BLOCK_CHARS = 4 << 20
 
 
 def normal(text: str) -> str:
@@ -167,7 +167,7 @@ _SCHEMA = "doc_id long, item_id long, distance int, start int, end int"
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """A row for each place where an item stands in a document: doc_id, item_id, distance (edits),
-    start and end (code points of the text, end exclusive)."""
+    start and end (code points of the text, end exclusive; of the whole words in which it lies)."""
 
     def scan(items: Items) -> DataFrame:
         out = docs.sparkSession.createDataFrame([], _SCHEMA).schema
