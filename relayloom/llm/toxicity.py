@@ -139,8 +139,15 @@ def fit(texts: list[str], toxic: list[int], base_rate: float, steps: int = 40) -
     index: dict[str, int] = {}
     number: dict[str, int] = {}
     words = [np.array([index.setdefault(w.lower(), len(index)) for w in WORD.findall(t)], np.int64) for t in texts]
-    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in index]
     distinct = [np.unique(w) for w in words]
+    in_toxic = np.zeros(len(index), bool)
+    for k in np.flatnonzero(y):
+        in_toxic[distinct[k]] = True
+    for w, there in zip(index, in_toxic.tolist()):  # features of clean documents alone can't mark anything
+        if there:
+            for f in features(w):
+                number.setdefault(f, len(number))
+    own = [[number[f] for f in features(w) if f in number] for w in index]
     often, marks = _marks(distinct, own, len(number), y)
     for _ in range(3):  # what the documents without a mark so far have in common stands out among them alone
         marked = np.array([marks[x].any() for x in own], bool)
