@@ -42,7 +42,8 @@ DONE = Result()
 
 
 def numbered(events: DataFrame, by: Iterable[str] = ORDER, within: str | None = None) -> DataFrame:
-    """events with `rank` (0, 1, ...) in the order of `by`, within a column if one is given."""
+    """events with `rank` (0, 1, ...) in the order of `by`, within a column if one is given; without one all
+    rows meet in one task, which is for queues of a bounded capacity."""
     window = Window.partitionBy(F.lit(0) if within is None else F.col(within)).orderBy(*by)
     return events.withColumn("rank", F.row_number().over(window) - 1)
 

@@ -68,7 +68,7 @@ def normalize(envelopes: DataFrame, now) -> DataFrame:
 
 def chunked(events: DataFrame, size: int = 500, per: str | None = None) -> DataFrame:
     """events with the number of the insert statement that would carry each; numbered within `per`, a
-    batch column, so that batches are numbered side by side."""
+    batch column, so that batches are numbered side by side (without it, one batch in one task)."""
     batch = F.lit(0) if per is None else F.col(per)
     order = Window.partitionBy(batch).orderBy("created_at", "event_id")
     return events.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("long"))

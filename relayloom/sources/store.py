@@ -46,9 +46,17 @@ class EventStore:
         events.select(*EVENTS.names).write.partitionBy("status").parquet(f"{self.folder}/{version}")
         fs.create(path(f"{self.folder}/pointer-{version}"), False).close()
 
+    def stage(self, events: DataFrame) -> DataFrame:
+        """The rows as written once: made ids and whatever else varies by evaluation are fixed by it."""
+        path = f"{self.folder}/staged-{uuid.uuid4().hex}"
+        events.write.parquet(path)
+        return self.spark.read.schema(events.schema).parquet(path)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the last versions; no reader may be on the older ones."""
+        """Delete all but the last versions, and what was staged; no reader may be on these."""
         fs, path = self._fs()
+        for s in fs.globStatus(path(f"{self.folder}/staged-*")) or []:
+            fs.delete(s.getPath(), True)
         names = sorted(s.getPath().getName() for s in fs.globStatus(path(f"{self.folder}/pointer-*")) or [])
         for name in names[:-keep]:
             fs.delete(path(f"{self.folder}/{name}"), False)

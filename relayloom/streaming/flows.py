@@ -163,7 +163,7 @@ class Stack:
         bad = ingest.validate(envelopes, now).where("error is not null")
         if not bad.isEmpty():
             raise ValueError(f"invalid envelope: {bad.first().error}")
-        return ingest.write(ingest.normalize(envelopes, now), self.store.insert, self.hooks)
+        return ingest.write(self.store.stage(ingest.normalize(envelopes, now)), self.store.insert, self.hooks)
 
     def cycle(self, now: datetime | str, capacity: int | None = None) -> int:
         """Poll or claim one batch, deliver it, apply what came of it; the number of events delivered."""

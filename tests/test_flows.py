@@ -36,6 +36,12 @@ def test_one_node_delivers_all(spark, tmp_path):
     assert set(statuses(s).values()) == {(1, 0)} and s.cycle(T0 + timedelta(minutes=1)) == 0
 
 
+def test_made_ids_are_those_that_are_stored(spark, tmp_path):
+    s = stack(spark, tmp_path, flows.single_node())
+    made = s.write(envelopes(spark, 5, event_id=None), T0)
+    assert {r.event_id for r in made.collect()} == {r.event_id for r in s.store.read().collect()} and made.count() == 5
+
+
 def test_failures_retry_and_die(spark, tmp_path):
     s = stack(spark, tmp_path, flows.single_node(max_attempts=3))
     s.listener("made")(lambda e: 1 / 0)
