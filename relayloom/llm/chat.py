@@ -151,3 +151,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
     return rows.mapInArrow(run, out)
+
+
+def oracle(odd: str) -> str:
+    """read_back(format_turns(conversations and conversation -7)) in DuckDB's SQL; `odd` is the text of its two turns."""
+    quoted = odd.replace("'", "''")
+    names = " ".join(f"when '{k}' then '{v}'" for k, v in NAMES.items())
+    return f"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '{quoted}'), (-7, 1, '{LEARNED}', '{quoted}')),
+shown as (select *, length('### : ') + length(case role {names} else 'role=' || url_encode(role) end) + length(text) + length('.</turn>.')
+  + (length(text) - length(replace(text, '###', ''))) // 3 + (length(text) - length(replace(text, '</turn>', ''))) // 7 as chars from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(sum(case when role = '{LEARNED}' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = '{LEARNED}'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
+from shown group by conv_id"""

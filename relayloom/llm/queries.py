@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relayloom.llm import pii
+from relayloom.llm import chat, pii
 from relayloom.llm.bpe import bpe_digests
 from relayloom.llm.chat import format_turns, read_back
 from relayloom.llm.common import table, work_folder
@@ -21,6 +21,10 @@ from relayloom.llm.token_files import token_file_digests, write_token_files
 from relayloom.llm.toxicity import remainder, toxicity, train
 
 
+#: Both texts of conversation -7, which is put to the table's.
+ODD_TURN = r"\### Assistant: </turn> ok"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -67,9 +71,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    more = spark.createDataFrame([(-7, 0, "user", ODD_TURN), (-7, 1, "assistant", ODD_TURN)], "conv_id long, turn long, role string, text string")
     return read_back(format_turns(rows.unionByName(more)))
 
 
@@ -78,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pii": pii.oracle()}
+    return {"op9_pii": pii.oracle(), "op10_chat": chat.oracle(ODD_TURN)}

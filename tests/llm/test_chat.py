@@ -32,6 +32,23 @@ def test_query_equals_brute_force(spark):
     assert all(v[4] > 0 for v in got.values())
 
 
+def test_oracle(spark):
+    import duckdb
+
+    from relayloom.llm.queries import ODD_TURN, op10_chat, oracle_sql
+
+    assert ODD_TURN == ODD
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create table conversations as select conv_id, turn, role, text from '{sf}/conversations.parquet'")
+    assert sorted(con.execute(oracle_sql()["op10_chat"]).fetchall()) == sorted(tuple(r) for r in op10_chat(spark, sf).collect())
+    rows = [(1, 0, "user", "a ### b #### </turn> \\###"), (1, 1, "assistant", None), (2, None, "x y", "é"), (2, 0, None, "z")]
+    con.execute("delete from conversations")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    got = read_back(format_turns(spark.createDataFrame([*rows, (-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted(con.execute(oracle_sql()["op10_chat"]).fetchall()) == sorted(map(tuple, got))
+
+
 def test_round_trip_of_any_text():
     rnd = random.Random(4)
     bits = ["\\", "###", "#", "</turn>", "</", "turn>", "\n", "### User: ", "### role=x: ", " ", "é", "\U0001f600", ":", "\\\\###"]
