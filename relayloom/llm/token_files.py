@@ -28,18 +28,18 @@ a damaged frame raises ValueError.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from relayloom.llm.common import Cache, chunks, live, two
-from relayloom.llm.token_counts import PRE, load
+from relayloom.llm.token_counts import load
 
 BLOCK = 4096
 LANES = 1024
@@ -321,7 +321,9 @@ def read_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Texts of these characters are split here; the library gets any other text as a whole.
-_PLAIN_TEXT = regex.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*+")
+_PLAIN_TEXT = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*")
+#: The tokenizer's pre-token pattern on such texts in lower case, where these are all the letters and digits.
+_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+")
 
 
 class Tokens:
@@ -355,7 +357,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [_PLAIN_TEXT.fullmatch(t) is not None and "<|" not in t for t in texts]
-        split = [PRE.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
+        split = [_PRE.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
         self._learn(set().union(*(x for x in split if x)))
         get = self.words.__getitem__
         return [np.frombuffer(self._whole(t) if x is None else b"".join(map(get, x)), np.uint16) for t, x in zip(texts, split)]

@@ -85,6 +85,14 @@ def test_ids_equal_the_library():
         assert [x.tolist() for x in encode_texts(texts, WORDS)] == want
 
 
+def test_plain_characters_split_as_the_library_splits():
+    lib = Tokenizer.from_file(WORDS)
+    chars = [chr(c) for c in range(0x250)]
+    texts = [f"a{c}b {c} {c}{c}1{c}'s a{c.upper()}" for c in chars]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encode_texts(texts, WORDS)] == want
+
+
 def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
     write_token_files(odd_docs, WORDS, str(tmp_path / "a"))
     rows = token_file_digests(spark, str(tmp_path / "a")).collect()
