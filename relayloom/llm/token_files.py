@@ -68,13 +68,13 @@ _CONFIDENT = np.rint(4095 * np.array([0.05] + [(k + 0.3) / (k + 1.2) for k in ra
 class _Model:
     """Predictions and their learning, for n lanes side by side; what a later step needs of an earlier one is in `seen`."""
 
-    def __init__(self, lanes: int, vocabulary: int, steps: int):
-        self.lanes, self.highs = lanes, -(-vocabulary >> SLOT)
+    def __init__(self, lanes: int, vocabulary: int, steps: int, reads: bool):
+        self.reads, self.highs = reads, -(-vocabulary >> SLOT)
         self.table1, self.table2 = np.zeros(lanes << BITS1, np.int64), np.zeros(lanes << BITS2, np.int64)
         slot = np.arange(SLOTS)
         self.table0 = np.tile(np.where(slot < 512, slot + SLOTS, slot), lanes)
         lane = np.arange(lanes)
-        self.at1, self.at2, self.at0, self.at_state, self.at_sum, self.rows = lane << BITS1, lane << BITS2, lane << SLOT, lane * STATES, lane * (SLOTS + 1), lane << 5
+        self.at1, self.at2, self.at0, self.at_state, self.at_sum, self.at_value = lane << BITS1, lane << BITS2, lane << SLOT, lane * STATES, lane * (SLOTS + 1), lane << SLOT_SCALE
         self.last = self.before = np.zeros(lanes, np.int64)
         self.weight2 = np.full((lanes, 2), 45000, np.int64)
         self.weight1 = np.tile(np.array([-12000, 30000], np.int64), (lanes, 1))
@@ -107,8 +107,8 @@ class _Model:
         sums = np.zeros((n, SLOTS + 1), np.int32)
         np.cumsum(part, axis=1, out=sums[:, 1:])
         self.sums = sums.reshape(-1).astype(np.int64)
-        self.fine = np.ascontiguousarray(sums[:, :SLOTS]).reshape(-1, 32)  # 32 slots a row, 32 rows a lane
-        self.coarse = np.ascontiguousarray(self.fine[:, 0]).reshape(n, 32)
+        if self.reads:  # the slot of every value of the scale, lane by lane
+            self.slots = np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint16), n), part.ravel())
 
     def update(self, n: int, first: int, to: int, ids: np.ndarray) -> None:
         """Take in steps first..to of the first n lanes; ids of these steps, steps x lanes."""
@@ -138,12 +138,6 @@ class _Model:
         at = self.state + self.at_state[:n]
         return self.c2, self.c1, self.share2.take(at), self.share1.take(at)
 
-    def slot_of(self, value: np.ndarray) -> np.ndarray:
-        """The slot whose part of the scale holds each value: the last one that doesn't begin above it."""
-        below = lambda rows: np.bitwise_count(np.packbits(rows <= value[:, None], axis=1).view(np.uint32)[:, 0]).astype(np.int64) - 1
-        row = below(self.coarse[: len(value)])
-        return (row << 5) + below(self.fine.take(self.rows[: len(value)] + row, axis=0))
-
     def learn(self, n: int, t: int, ids: np.ndarray, at0: np.ndarray, outcome: np.ndarray) -> None:
         self.seen[0, t, :n] = self.state
         self.seen[1, t, :n] = outcome
@@ -168,7 +162,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     by_step = np.zeros((int(lengths[0]), len(blocks)), np.int64)
     for k, b in enumerate(blocks):
         by_step[: len(b), k] = b
-    model = _Model(len(blocks), vocabulary, len(by_step))
+    model = _Model(len(blocks), vocabulary, len(by_step), False)
     low, span = np.zeros(len(blocks), np.int64), np.full(len(blocks), RANGE)
     out = np.zeros((len(blocks), len(by_step) * 3 + 8), np.uint32)
     start = out.shape[1] * np.arange(len(blocks))
@@ -226,7 +220,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 def decode_blocks(payloads: list[bytes], lengths: np.ndarray, vocabulary: int) -> np.ndarray:
     """Ids (blocks x longest) of payloads, the longest block first."""
     by_step = np.zeros((int(lengths[0]), len(payloads)), np.int64)
-    model = _Model(len(payloads), vocabulary, len(by_step))
+    model = _Model(len(payloads), vocabulary, len(by_step), True)
     width = max(len(p) for p in payloads) // 2 + 8
     digits = np.zeros((len(payloads), width), np.uint16)
     for k, p in enumerate(payloads):
@@ -243,7 +237,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, vocabulary: int) -
             model.update(n, done, first, by_step[done:first, :n])
             done = first
         span, end, code, stop = span[:n], end[:n], code[:n], stop[:n]
-        at_sum, at0, same, high = model.at_sum[:n], model.at0[:n], model.same[:n], model.high[:n]
+        at_sum, at_value, at0, same, high = model.at_sum[:n], model.at_value[:n], model.at0[:n], model.same[:n], model.high[:n]
         for t in range(first, to):
             c2, c1, f2, f1 = model.predict(n)
             both = f2 + f1
@@ -253,7 +247,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, vocabulary: int) -
             code -= r * np.where(literal, both, np.where(second, 0, f2))
             np.multiply(r, np.where(literal, 65536 - both, np.where(second, f2, f1)), out=span)
             r = span >> SLOT_SCALE
-            slot = model.slot_of(np.minimum(code // r, (1 << SLOT_SCALE) - 1).astype(np.int32))
+            slot = model.slots.take(at_value + np.minimum(code // r, (1 << SLOT_SCALE) - 1)).astype(np.int64)
             at = at_sum + slot
             a = model.sums.take(at)
             code -= r * (a * literal)
