@@ -59,7 +59,7 @@ class Vocabulary:
         for s, i in vocab.items():
             self.found.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.found.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.fits(*p), 300_000)
+        self.pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.fits(*p), 200_000)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their joint bytes are encoded.
@@ -115,8 +115,8 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.special = regex.compile("|".join(map(regex.escape, self.vocabulary.special)) or r"(?!)")
-        self.words = Cache(lambda w: self._pack(self.vocabulary.encode_word(w.encode()), w), 150_000)
-        self.chunks = Cache(self._chunk, 500_000)
+        self.words = Cache(lambda w: self._pack(self.vocabulary.encode_word(w.encode()), w), 100_000)
+        self.chunks = Cache(self._chunk, 300_000)
 
     def _pack(self, ids: list[int], text: str) -> tuple[str, str]:
         """The ids as text, and what they decode to (the given object if equal, to save memory)."""
