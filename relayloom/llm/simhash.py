@@ -16,6 +16,10 @@ Two ways to buckets, neither of which drops a case:
 A bucket of over `BUCKET` classes is cut into chunks by a hash, and each pair of chunks is a group of
 its own, so no task holds more than two chunks, and no pair is lost.
 
+Wide fingerprints only lead to pairs. What lies within their radius is joined to components, of which
+pairs of similarity 0.8 never leave; the shingle sets of those with company are made again from the texts,
+meet in their component, and a pair is a link if the exact Jaccard similarity of its sets is at least 0.8.
+
 Defined cases: null or blank texts have fingerprint 0 and are linked like any other (`similar`: to
 their equals only, having no shingle to share); ties
 go to the smallest doc_id; a row whose doc_id is null gets the class of its fingerprint,
@@ -25,23 +29,27 @@ empty table gives an empty result; further columns are ignored by the fingerprin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from relayloom.llm.bitslice import forest
-from relayloom.llm.common import checkpoint_dir, map_texts, two
+from relayloom.llm.common import checkpoint_dir, chunks, map_texts, two
 from relayloom.llm.components import components
 
 BUCKET = 4096
 SMALLEST = 8
-#: Words of 64 bits of a wide fingerprint, and the bits in which texts of similarity 0.8 differ at most: the
-#: mean, 1024 * acos(2 * 0.8 / 1.8) / pi = 155, and two standard deviations of 11.5.
-WIDE, NEAR_WIDE = 16, 178
+#: Words of 64 bits of a wide fingerprint, and the bits in which candidates differ at most: sets of similarity 0.8
+#: differ in 155 on average, or 192 at worst (four shingles of five); five standard deviations of 12.5 are added.
+WIDE, NEAR_WIDE = 16, 256
+#: Shingle hashes, and so many more for each text, that are compared at once with those of another chunk.
+CHUNK, EACH = 1 << 20, 256
+#: So many classes' ids go to all executors at most.
+BROADCAST = 1_000_000
 _GOLDEN = 0x9E3779B97F4A7C15  # fixed value: 2^64 over the golden ratio
 
 
@@ -120,16 +128,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_runs(radius: int):
-    """For mapInArrow over rows (t, key, part, rep, bits) sorted by the first three: links in each run."""
+def near_bits(radius: int):
+    """Finds the links of rows with bits, for `link_runs`."""
+
+    def find(rows: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(rows.num_rows, -1), group, radius)
+
+    return find
+
+
+def alike(size_a, size_b, common):
+    """Whether sets of such sizes with so many members in common have a Jaccard similarity of 0.8 or more."""
+    return 9 * common >= 4 * (size_a + size_b)
+
+
+def near_sets(rows: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Finds the links of rows with sets, for `link_runs`: every pair of a group is compared, unless other links join it already."""
+    label = np.arange(rows.num_rows)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    for own in np.split(label.copy(), np.flatnonzero(group[1:] != group[:-1]) + 1):
+        own = own[np.argsort(size[own], kind="stable")]
+        found, of = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True)
+        members = np.split(of.astype(np.int32), np.cumsum(size[own])[:-1])
+        here, mark, n = label[own], np.zeros(len(found), np.uint8), size[own]
+        for k in range(len(own) - 1):
+            other = np.arange(k + 1, np.searchsorted(n, n[k] * 5 // 4, "right"))  # larger ones are less alike
+            other = other[here[other] != here[k]]
+            if len(other):
+                mark[members[k]] = 1
+                start = np.cumsum(n[other]) - n[other]
+                common = np.add.reduceat(mark[np.concatenate([members[x] for x in other])], start, dtype=np.int64)
+                mark[members[k]] = 0
+                hit = other[alike(n[k], n[other], common)]
+                if len(hit):
+                    joined = np.append(here[hit], here[k])
+                    here[np.isin(here, joined)] = joined.min()
+        label[own] = here
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return label[linked], linked
+
+
+def link_runs(find: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """For mapInArrow over rows (t, key, part, rep, ...) sorted by the first three: links that `find` makes in each run."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         k = [rows[c].to_numpy() for c in ("t", "key", "part")]
         new = np.r_[False, np.any([x[1:] != x[:-1] for x in k], axis=0)]
         rep = rows["rep"].to_numpy()
-        words = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
-        a, b = forest(words, np.cumsum(new), radius)
+        a, b = find(rows, np.cumsum(new))
         return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +185,7 @@ def link_runs(radius: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(x.num_rows for x in held) >= 10_000:
+            if sum(x.num_rows for x in held) >= 10_000 or sum(x.nbytes for x in held) >= 2 * CHUNK:
                 rows = pa.Table.from_batches(held)
                 k = [rows[c].to_numpy() for c in ("t", "key", "part")]
                 cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0))
@@ -151,21 +199,21 @@ def link_runs(radius: int):
     return run
 
 
-def _links(candidates: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """Links (a, b) among the candidates (t, key, rep, bits) of one (t, key) each."""
-    size = candidates.groupBy("t", "key").count()
-    hot = size.where(F.col("count") > bucket).select("t", "key", F.ceil(F.col("count") / bucket).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep", "bits"), F.col("chunks")).cast("int")
+def _links(candidates: DataFrame, find: Callable, what: str, weight: Column, most: int) -> DataFrame:
+    """Links (a, b) that `find` makes by the column `what` among the candidates (t, key, rep, what) of one (t, key) each."""
+    size = candidates.groupBy("t", "key").agg(F.sum(weight).alias("size"))
+    hot = size.where(F.col("size") > most).select("t", "key", F.ceil(F.col("size") / most).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("rep", what), F.col("chunks")).cast("int")
     met = candidates.join(hot, ["t", "key"], "left").withColumn("own", own)
     part = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, F.col("own")) * F.col("chunks") + F.greatest(o, F.col("own")))
     part = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.filter(part, lambda p: p != F.col("own") * F.col("chunks") + F.col("own")))
-    dealt = met.select("t", "key", F.explode(part).alias("part"), "rep", "bits")
+    dealt = met.select("t", "key", F.explode(part).alias("part"), "rep", what)
     dealt = dealt.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
-    return dealt.mapInArrow(link_runs(radius), "a long, b long")
+    return dealt.mapInArrow(link_runs(find), "a long, b long")
 
 
-def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, bits), and (bits, component_id) of their classes."""
+def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, bits), their classes (bits, rep), and (node, component) of the classes that fingerprints link."""
     checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, words, words64, keyed).checkpoint()
     least = [F.min("doc_id").alias("rep")] + [F.min_by("keys", "doc_id").alias("keys")] * keyed
@@ -178,9 +226,47 @@ def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int
         masks = piece_masks(classes.count(), radius, bucket)
         keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
         candidates = classes.withColumn("v", value).select(F.explode(keys).alias("k"), "rep", "bits").select("k.t", "k.key", "rep", "bits")
-    found = components(_links(candidates, radius, bucket))
-    joined = classes.join(found, F.col("rep") == F.col("node"), "left")
-    return rows, joined.select("bits", F.coalesce("component", "rep").alias("component_id"))
+    return rows, classes, components(_links(candidates, near_bits(radius), "bits", F.lit(1), bucket))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """component, rep, n, keys (the smallest) and hashes: the distinct shingle hashes, ascending, of the classes wanted
+    (component, rep, bits). They are made again from the texts: kept for all texts, they would take more room than these."""
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = two(docs).join(wanted, F.col("doc_id") == F.col("rep")).select("component", "rep", "bits", "text")
+    out = docs.sparkSession.createDataFrame([], "component long, rep long, n long, keys array<long>, hashes binary").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        for part in chunks(batches):
+            made = []
+            for row in part.to_pylist():
+                hashes = shingle_hashes(row["text"] or "", words)
+                if fingerprint(hashes, WIDE).tobytes() == row["bits"]:  # else another row with this id
+                    least = np.unique(hashes)
+                    made.append({"component": row["component"], "rep": row["rep"], "n": len(least), "keys": least[:SMALLEST].view(np.int64).tolist(), "hashes": least.tobytes()})
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    return texts.mapInArrow(run, out)
+
+
+def _confirmed(sets: DataFrame, chunk: int) -> DataFrame:
+    """Links (a, b) that connect just what pairs of one component with a similarity of 0.8 or more connect. A component of
+    many chunks is cut by the smallest hashes first, one of which such pairs share."""
+    sets = sets.checkpoint()
+    weight = F.col("n") + EACH
+    large = sets.groupBy("component").agg(F.sum(weight).alias("size")).where(F.col("size") > SMALLEST * chunk)
+    keys = F.when(F.col("size").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.col("keys"))
+    met = sets.join(large, "component", "left").select(F.col("component").alias("t"), F.explode(keys).alias("key"), "rep", "n", "hashes")
+    return _links(met, near_sets, "hashes", weight, chunk)
+
+
+def _joined(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes with component_id."""
+    return classes.join(found, F.col("rep") == F.col("node"), "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
 
 
 def _hex(bits, words64: int):
@@ -191,14 +277,16 @@ def simhash_classes(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     """doc_id, fingerprint (16 hex digits), component_id: 64 bits, exact within the radius."""
     if not 0 <= radius < 8:
         raise ValueError("radius must be 0 to 7; near_classes takes wider fingerprints")
-    rows, classes = _classes(docs, words, 1, False, radius, bucket)
-    return rows.join(classes, "bits", "left").select("doc_id", _hex(F.col("bits"), 1).alias("fingerprint"), "component_id")
+    rows, classes, found = _classes(docs, words, 1, False, radius, bucket)
+    return rows.join(_joined(classes, found), "bits", "left").select("doc_id", _hex(F.col("bits"), 1).alias("fingerprint"), "component_id")
 
 
-def near_classes(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE, bucket: int = BUCKET) -> DataFrame:
+def near_classes(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (256 hex digits), component_id: 1024 bits, for texts whose shingles are 0.8 or more alike."""
-    rows, classes = _classes(docs, words, WIDE, True, radius, bucket)
-    return rows.select("doc_id", "bits").join(classes, "bits", "left").select("doc_id", _hex(F.col("bits"), WIDE).alias("fingerprint"), "component_id")
+    rows, classes, met = _classes(docs, words, WIDE, True, radius, bucket)
+    wanted = classes.join(met, F.col("rep") == F.col("node")).select("component", "rep", "bits")
+    found = components(_confirmed(_sets(docs, wanted, words), chunk))
+    return rows.select("doc_id", "bits").join(_joined(classes, found), "bits", "left").select("doc_id", _hex(F.col("bits"), WIDE).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE) -> DataFrame:

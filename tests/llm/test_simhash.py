@@ -1,3 +1,5 @@
+from collections import defaultdict
+
 import numpy as np
 import pytest
 import xxhash
@@ -120,3 +122,47 @@ def test_near_classes_find_texts_that_are_08_alike(spark):
             near += got[i] == got[i + 1]
         assert {got[i], got[i + 1]} <= {i, i + 1}
     assert pairs > 40 and near / pairs >= 0.95
+
+
+def exact_classes(texts, words=5):
+    """Smallest id reachable by pairs of texts whose sets of shingle hashes have a Jaccard similarity of 0.8 or more."""
+    sets = {i: frozenset(shingle_hashes(t or "", words).tolist()) for i, t in texts.items()}
+    having, root = defaultdict(list), {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for h in s or {None}:
+            having[h].append(i)
+    for a, b in {(a, b) for same in having.values() for a in same for b in same if a < b}:
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def test_near_copies_are_just_the_texts_that_are_08_alike(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = exact_classes({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: r.component_id for r in near_classes(docs).collect()} == want
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_pairs_below_08_are_no_links_and_pairs_from_08_are(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):  # chains in which each text is a little further from the first, of 4 to 400 shingles
+        a = ["w%d" % x for x in rng.integers(0, 10**6, int(rng.integers(8, 405)))]
+        texts.append(" ".join(a))
+        for _ in range(4):
+            a = a[int(len(a) * rng.uniform(0, 0.2)) :] + ["v%d" % x for x in rng.integers(0, 10**6, int(len(a) * rng.uniform(0, 0.15)))]
+            texts.append(" ".join(a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = exact_classes(dict(enumerate(texts)))
+    assert 60 < len(set(want.values())) < 240
+    for more in ({}, {"bucket": 7, "chunk": 300}):
+        assert {r.doc_id: r.component_id for r in near_classes(docs, **more).collect()} == want
