@@ -2,7 +2,8 @@
 
 A text's words (split at ASCII white space, A-Z lower-cased) give shingles, repeats
 included; a fingerprint bit is 1 if it is set in over half of the shingles' hashes. Equal
-fingerprints are one class. Classes that may be near each other meet in buckets, where
+fingerprints are one class (wide ones are of the distinct shingles, so that a repeated line does not fix
+every bit, and there a class is one set of shingles, by its digest). Classes that may be near each other meet in buckets, where
 `bitslice.forest` links those within the radius; `components` joins the links.
 
 Two ways to buckets, neither of which drops a case:
@@ -22,7 +23,7 @@ meet in their component, and a pair is a link if the exact Jaccard similarity of
 
 Defined cases: null or blank texts have fingerprint 0 and are linked like any other (`similar`: to
 their equals only, having no shingle to share); ties
-go to the smallest doc_id; a row whose doc_id is null gets the class of its fingerprint,
+go to the smallest doc_id; a row whose doc_id is null gets the class of its fingerprint (or set),
 null if no row with an id is in that class; rows with one doc_id twice are two rows; an
 empty table gives an empty result; further columns are ignored by the fingerprint tables.
 """
@@ -95,22 +96,27 @@ def fingerprint(hashes: np.ndarray, words64: int = 1) -> np.ndarray:
     return out
 
 
+def digest(distinct: np.ndarray) -> bytes:
+    """Of a set of shingle hashes: equal for equal sets only (128 bits)."""
+    return xxhash.xxh3_128_digest(distinct.tobytes())
+
+
 def fingerprints(docs: DataFrame, words: int, words64: int = 1, keyed: bool = False) -> DataFrame:
-    """doc_id, bits (64-bit words, low first) and, if keyed, the smallest shingle hashes."""
+    """doc_id, bits (64-bit words, low first) and, if keyed, the digest and the smallest of the distinct
+    shingle hashes, which the bits are of then."""
 
     def of(texts: list[str]) -> dict[str, list]:
-        out = {"bits": [], "keys": []}
+        out = {"bits": [], "same": [], "keys": []}
         for text in texts:
             hashes = shingle_hashes(text, words)
-            out["bits"].append(fingerprint(hashes, words64).tobytes())
             if keyed:
-                least = np.unique(hashes)[:SMALLEST] if len(hashes) <= SMALLEST else np.unique(np.partition(hashes, min(len(hashes) - 1, 64))[:65])[:SMALLEST]
-                if 0 < len(least) < SMALLEST < len(hashes):  # many repeats among the smallest
-                    least = np.unique(hashes)[:SMALLEST]
-                out["keys"].append(least.view(np.int64).tolist())
+                hashes = np.unique(hashes)
+                out["same"].append(digest(hashes))
+                out["keys"].append(hashes[:SMALLEST].view(np.int64).tolist())
+            out["bits"].append(fingerprint(hashes, words64).tobytes())
         return out if keyed else {"bits": out["bits"]}
 
-    return map_texts(docs, of, "bits binary" + ", keys array<long>" * keyed)
+    return map_texts(docs, of, "bits binary" + ", same binary, keys array<long>" * keyed)
 
 
 def piece_masks(classes: int, radius: int, bucket: int = BUCKET) -> list[int]:
@@ -213,11 +219,12 @@ def _links(candidates: DataFrame, find: Callable, what: str, weight: Column, mos
 
 
 def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, bits), their classes (bits, rep), and (node, component) of the classes that fingerprints link."""
+    """Rows (doc_id, bits), their classes (bits, rep), and (node, component) of the classes that fingerprints link; if
+    keyed, rows have `same` besides, and a class is one of it."""
     checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, words, words64, keyed).checkpoint()
     least = [F.min("doc_id").alias("rep")] + [F.min_by("keys", "doc_id").alias("keys")] * keyed
-    classes = rows.where("doc_id is not null").groupBy("bits").agg(*least).checkpoint()
+    classes = rows.where("doc_id is not null").groupBy(*["same"] * keyed, "bits").agg(*least).checkpoint()
     if keyed:
         candidates = classes.select(F.lit(0).alias("t"), F.explode("keys").alias("key"), "rep", "bits")
     else:
@@ -231,10 +238,10 @@ def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """component, rep, n, keys (the smallest) and hashes: the distinct shingle hashes, ascending, of the classes wanted
-    (component, rep, bits). They are made again from the texts: kept for all texts, they would take more room than these."""
+    (component, rep, same). They are made again from the texts: kept for all texts, they would take more room than these."""
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = two(docs).join(wanted, F.col("doc_id") == F.col("rep")).select("component", "rep", "bits", "text")
+    texts = two(docs).join(wanted, F.col("doc_id") == F.col("rep")).select("component", "rep", "same", "text")
     out = docs.sparkSession.createDataFrame([], "component long, rep long, n long, keys array<long>, hashes binary").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +251,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for part in chunks(batches):
             made = []
             for row in part.to_pylist():
-                hashes = shingle_hashes(row["text"] or "", words)
-                if fingerprint(hashes, WIDE).tobytes() == row["bits"]:  # else another row with this id
-                    least = np.unique(hashes)
-                    made.append({"component": row["component"], "rep": row["rep"], "n": len(least), "keys": least[:SMALLEST].view(np.int64).tolist(), "hashes": least.tobytes()})
+                hashes = np.unique(shingle_hashes(row["text"] or "", words))
+                if digest(hashes) == row["same"]:  # else another row with this id
+                    made.append({"component": row["component"], "rep": row["rep"], "n": len(hashes), "keys": hashes[:SMALLEST].view(np.int64).tolist(), "hashes": hashes.tobytes()})
             yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return texts.mapInArrow(run, out)
@@ -264,9 +270,9 @@ def _confirmed(sets: DataFrame, chunk: int) -> DataFrame:
     return _links(met, near_sets, "hashes", weight, chunk)
 
 
-def _joined(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """classes with component_id."""
-    return classes.join(found, F.col("rep") == F.col("node"), "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
+def _joined(classes: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """classes, known by the column `by`, with component_id."""
+    return classes.join(found, F.col("rep") == F.col("node"), "left").select(by, F.coalesce("component", "rep").alias("component_id"))
 
 
 def _hex(bits, words64: int):
@@ -278,15 +284,15 @@ def simhash_classes(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     if not 0 <= radius < 8:
         raise ValueError("radius must be 0 to 7; near_classes takes wider fingerprints")
     rows, classes, found = _classes(docs, words, 1, False, radius, bucket)
-    return rows.join(_joined(classes, found), "bits", "left").select("doc_id", _hex(F.col("bits"), 1).alias("fingerprint"), "component_id")
+    return rows.join(_joined(classes, found, "bits"), "bits", "left").select("doc_id", _hex(F.col("bits"), 1).alias("fingerprint"), "component_id")
 
 
 def near_classes(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (256 hex digits), component_id: 1024 bits, for texts whose shingles are 0.8 or more alike."""
     rows, classes, met = _classes(docs, words, WIDE, True, radius, bucket)
-    wanted = classes.join(met, F.col("rep") == F.col("node")).select("component", "rep", "bits")
+    wanted = classes.join(met, F.col("rep") == F.col("node")).select("component", "rep", "same")
     found = components(_confirmed(_sets(docs, wanted, words), chunk))
-    return rows.select("doc_id", "bits").join(_joined(classes, found), "bits", "left").select("doc_id", _hex(F.col("bits"), WIDE).alias("fingerprint"), "component_id")
+    return rows.select("doc_id", "bits", "same").join(_joined(classes, found, "same"), "same", "left").select("doc_id", _hex(F.col("bits"), WIDE).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE) -> DataFrame:

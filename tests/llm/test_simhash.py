@@ -166,3 +166,10 @@ def test_pairs_below_08_are_no_links_and_pairs_from_08_are(spark):
     assert 60 < len(set(want.values())) < 240
     for more in ({}, {"bucket": 7, "chunk": 300}):
         assert {r.doc_id: r.component_id for r in near_classes(docs, **more).collect()} == want
+
+
+def test_equal_fingerprints_are_no_copies(spark):
+    texts = ["spam ham eggs and toast " + "buy " * 21, "one two three four five six " + "buy " * 24, "Spam ham eggs and toast " + "buy " * 23, " ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_classes(docs).collect()}
+    assert got == exact_classes(dict(enumerate(texts))) == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
