@@ -48,6 +48,14 @@ def numbered(events: DataFrame, by: Iterable[str] = ORDER, within: str | None =
     return events.withColumn("rank", F.row_number().over(window) - 1)
 
 
+def ranked(events: DataFrame, by: Iterable[str] = ORDER) -> DataFrame:
+    """events with `rank` (0, 1, ...) in the order of `by` over all rows: sorted by range, each range counted, so
+    that no task holds more than its share."""
+    schema = T.StructType([*events.schema.fields, T.StructField("rank", T.LongType())])
+    rows = events.orderBy(*by).rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    return events.sparkSession.createDataFrame(rows, schema, verifySchema=False)
+
+
 def accept(events: DataFrame, capacity: int) -> DataFrame:
     """The events that a bounded queue takes; the rest is dropped, and found again by a poll."""
     return events.orderBy(*ORDER).limit(max(capacity, 0))

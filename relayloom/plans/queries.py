@@ -142,10 +142,10 @@ def cdc_dedupe(spark, sf_dir):
     return scans.dedupe(feed.unionAll(again)).select(feed.columns)
 
 
-@query(f"select event_id, row_number() over ({_OLDEST}) - 1 as rank from ob where {_DUE} and aggregate_id = '7'")
+@query(f"select event_id, row_number() over ({_OLDEST}) - 1 as rank from ob where {_DUE}")
 def ordered_delivery(spark, sf_dir):
-    """The order in which one worker delivers an aggregate's due events."""
-    return dispatch.numbered(scans.due(ob(spark, sf_dir), NOW).where("aggregate_id = '7'").select("event_id", "created_at", "aggregate_id"), within="aggregate_id").select("event_id", F.col("rank").cast("long"))
+    """The order in which one worker delivers the due events of the whole table."""
+    return dispatch.ranked(scans.due(ob(spark, sf_dir), NOW).select("event_id", "created_at")).select("event_id", "rank")
 
 
 # Transitions
@@ -402,13 +402,13 @@ def hot_accept_drop(spark, sf_dir):
 
 def _queues(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Fresh events are hot, a poll's are cold; a third of the latter are in both."""
-    events = ob(spark, sf_dir).where("aggregate_id in ('1', '2', '3')")
+    events = ob(spark, sf_dir)
     columns = ["event_id", "created_at", "aggregate_id"]
     return tuple(dispatch.numbered(events.where(w).select(columns), within="aggregate_id") for w in ("status = 0", "status = 2 or cast(substring(event_id, 5) as bigint) % 3 = 0"))
 
 
-_QUEUES = """hot as (select event_id, created_at, aggregate_id, row_number() over (partition by aggregate_id order by created_at, event_id) - 1 as rank from ob where aggregate_id in ('1', '2', '3') and status = 0),
-cold as (select event_id, created_at, aggregate_id, row_number() over (partition by aggregate_id order by created_at, event_id) - 1 as rank from ob where aggregate_id in ('1', '2', '3') and (status = 2 or cast(substring(event_id, 5) as bigint) % 3 = 0)),
+_QUEUES = """hot as (select event_id, created_at, aggregate_id, row_number() over (partition by aggregate_id order by created_at, event_id) - 1 as rank from ob where status = 0),
+cold as (select event_id, created_at, aggregate_id, row_number() over (partition by aggregate_id order by created_at, event_id) - 1 as rank from ob where status = 2 or cast(substring(event_id, 5) as bigint) % 3 = 0),
 merged as (select *, 'HOT' source, cast(3 * (rank // 2) + rank % 2 as bigint) "position" from hot union all select *, 'COLD', cast(3 * rank + 2 as bigint) from cold)"""
 
 

@@ -54,3 +54,30 @@ def test_plans_push_filters_and_take_the_top(spark, sf):
     assert "TakeOrderedAndProject" in poll
     for name in ("purge_survivors", "claim_marks", "route_events"):
         assert "BroadcastHashJoin" in plan(plans.queries()[name](spark, sf)) or "AdaptiveSparkPlan" in plan(plans.queries()[name](spark, sf))
+
+
+def test_queues_are_those_of_the_whole_table(spark, sf):
+    from relayloom.operators.dispatch import ranked
+    from relayloom.schema import derived_events
+
+    events = derived_events(spark, sf).collect()
+    number = {r.event_id: int(r.event_id[4:]) for r in events}
+    hot = [r for r in events if r.status == 0]
+    cold = [r for r in events if r.status == 2 or number[r.event_id] % 3 == 0]
+    want = set()
+    for queue, source, slot in ((hot, "HOT", lambda k: 3 * (k // 2) + k % 2), (cold, "COLD", lambda k: 3 * k + 2)):
+        rank = {}
+        for r in sorted(queue, key=lambda r: (r.created_at, r.event_id)):
+            k = rank[r.aggregate_id] = rank.get(r.aggregate_id, -1) + 1
+            want.add((r.aggregate_id, r.event_id, source, slot(k)))
+    assert {tuple(r) for r in plans.queries()["fair_merge"](spark, sf).collect()} == want
+    assert {tuple(r) for r in plans.queries()["queue_depths"](spark, sf).select("source", "depth").collect()} == {("HOT", len(hot)), ("COLD", len(cold))}
+    ids = {r.event_id for r in hot}
+    assert {tuple(r) for r in plans.queries()["inflight_dedupe"](spark, sf).collect()} == {(r.event_id, "HOT" if r.event_id in ids else "COLD") for r in hot + cold}
+
+    now = datetime.datetime.fromisoformat(plans.NOW)
+    due = sorted((r for r in events if r.status in (0, 2) and r.available_at <= now), key=lambda r: (r.created_at, r.event_id))
+    got = plans.queries()["ordered_delivery"](spark, sf).collect()
+    assert len({r.aggregate_id for r in due}) > 1
+    assert sorted((r["rank"], r.event_id) for r in got) == list(enumerate(r.event_id for r in due))
+    assert ranked(spark.createDataFrame([], "created_at timestamp_ntz, event_id string")).count() == 0
