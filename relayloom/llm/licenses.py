@@ -6,6 +6,9 @@ all documents have the word, and goes to the template with the highest cosine, i
 at least `LEAST`. Only template words need a document count, so the counts are bounded by the
 templates; a word outside them weighs as one that no document has.
 
+A text that as a whole is close to a whole licence text has that licence. Of passages, the highest cosine counts,
+then the longer; a bare "All rights reserved.", which stands beside many a licence, counts only if nothing else does.
+
 A file whose text is mostly such a passage, or is named like a licence file, licenses its
 directory. Every directory is expanded to its ancestors (a row for each level of the path), joined with
 the licensed directories, and takes the deepest; files then join their directory.
@@ -29,8 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from relayloom.llm.common import chunks
+from relayloom.llm.license_texts import COUNTS, TEXTS
 
 LEAST = 0.55
+#: Least cosine of a whole text to a whole licence.
+LEAST_WHOLE = 0.85
+BARE = "All rights reserved."
 #: A file is a licence file if this share of its words is in the passage.
 MOSTLY = 0.5
 
@@ -88,27 +95,42 @@ class Scanner:
     def __init__(self, documents: int, count: dict[str, int]):
         self.weight = {w: math.log((1 + documents) / (1 + count.get(w, 0))) + 1 for w in VOCABULARY}
         self.other = math.log(1 + documents) + 1
-        self.names, self.index = [], defaultdict(list)
+        self.names, self.index, self.bare = [], defaultdict(list), set()
         for name in sorted(TEMPLATES):
             for text in TEMPLATES[name]:
                 vector, norm = self.vector(words(text))
                 for w, x in vector.items():
                     self.index[w].append((len(self.names), x / norm))
+                if text == BARE:
+                    self.bare.add(len(self.names))
                 self.names.append(name)
+        bags = {n: Counter(words(t)) for n, t in TEXTS.items()} | {n: Counter({w: int(k) for w, k in (p.split(":") for p in t.split())}) for n, t in COUNTS.items()}
+        self.wholes = {name: self.vector(bags[name]) for name in sorted(bags)}
 
-    def vector(self, tokens: list[str]) -> tuple[dict[str, float], float]:
+    def vector(self, tokens: list[str] | Counter[str]) -> tuple[dict[str, float], float]:
         made = {w: (1 + math.log(n)) * self.weight.get(w, self.other) for w, n in Counter(tokens).items()}
         return made, math.sqrt(sum(x * x for x in made.values()))
 
+    def whole(self, tokens: list[str]) -> tuple[float, str]:
+        """Highest cosine of a whole text to a whole licence, and that. AGPL-3.0 is GPL-3.0 but for its heading and a section,
+        so the heading tells."""
+        vector, norm = self.vector(tokens)
+        score, name = max(((round(sum(x * v[w] for w, x in vector.items() if w in v) / (norm * n), 9), k) for k, (v, n) in self.wholes.items()), key=lambda p: p[0], default=(0.0, ""))
+        return score, "AGPL-3.0" if name == "GPL-3.0" and "affero" in tokens[:40] else name
+
     def closest(self, tokens: list[str]) -> tuple[float, str]:
         """Highest cosine, and the licence of that template."""
+        score, k = self._closest(tokens)
+        return score, "" if k < 0 else self.names[k]
+
+    def _closest(self, tokens: list[str]) -> tuple[float, int]:
         vector, norm = self.vector(tokens)
         dot: dict[int, float] = defaultdict(float)
         for w, x in vector.items():
             for k, y in self.index.get(w, ()):
                 dot[k] += x * y
         best = max(dot.items(), key=lambda p: (round(p[1] / norm, 9), -p[0]), default=None)
-        return (0.0, "") if best is None else (round(best[1] / norm, 9), self.names[best[0]])
+        return (0.0, -1) if best is None else (round(best[1] / norm, 9), best[0])
 
     def scan(self, text: str) -> tuple[str | None, float, int, int, float]:
         """Licence, cosine, start, end (code points) and share of the text's words of the best passage."""
@@ -116,7 +138,11 @@ class Scanner:
         none = (None, 0.0, 0, 0, 0.0)
         if not any(t in low for t in TRIGGERS):
             return none
-        best, run = None, []
+        all_words = words(low)
+        score, name = self.whole(all_words)
+        if score >= LEAST_WHOLE:
+            return name, score, 0, len(text), 1.0
+        best, least, run = None, (), []
         for m in [*_SENTENCE.finditer(text), None]:
             own = words(m[0]) if m else []
             lower = m[0].lower() if m else ""
@@ -124,12 +150,13 @@ class Scanner:
                 run = [*run[-11:], (m.start(), m.end(), own)]  # no template has more sentences
                 passages = [run[-1]] + [(run[k][0], m.end(), [w for x in run[k:] for w in x[2]]) for k in range(len(run) - 1)]
                 for a, b, tokens in passages:
-                    score, name = self.closest(tokens)
-                    if score >= LEAST and (best is None or score > best[1]):
-                        best = name, score, a, b, len(tokens)
+                    score, k = self._closest(tokens)
+                    rank = (k not in self.bare, score, len(tokens))
+                    if score >= LEAST and (best is None or rank > least):
+                        best, least = (self.names[k], score, a, b, len(tokens)), rank
             else:
                 run = []
-        return none if best is None else (*best[:4], best[4] / max(len(words(low)), 1))
+        return none if best is None else (*best[:4], best[4] / max(len(all_words), 1))
 
 
 def scan_files(files: DataFrame) -> DataFrame:

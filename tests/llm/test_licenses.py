@@ -82,3 +82,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert scan_files(no_docs.withColumn("path", F.lit("a"))).count() == 0
     assert Scanner(1, {}).scan("my license " * 30_000)[0] is None
     assert Scanner(1, {}).scan("word. " * 30_000 + "\nReleased under the MIT License.\n" + "word. " * 30_000)[0] == "MIT"
+
+
+def test_whole_licence_files_are_told_apart():
+    from relayloom.llm.license_texts import COUNTS, TEXTS
+
+    scanner = Scanner(1000, {})
+    line = "Copyright (c) 2020, X. All rights reserved.\n\n"
+    for name, text in TEXTS.items():
+        for head in ("", line):
+            assert scanner.scan(head + text.split("License. ", 1)[-1])[0] == name
+    assert scanner.scan(line + "Released under the MIT License, see the file beside this.")[0] == "MIT"
+    assert scanner.scan(line)[0] == "Proprietary"
+    for name, counts in COUNTS.items():
+        text = " ".join(" ".join([w] * int(n)) for w, n in (p.split(":") for p in counts.split()))
+        assert scanner.scan(line + text)[0] == name
+        assert scanner.whole(words("GNU AFFERO GENERAL PUBLIC LICENSE Version 3 " + text))[1] == ("AGPL-3.0" if name == "GPL-3.0" else name)
