@@ -210,14 +210,14 @@ class Stack:
 
         return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every.total_seconds()} seconds").start()
 
-    def drain(self, now, most: int = 1000) -> int:
-        """Cycles until nothing is due."""
-        total = 0
-        for _ in range(most):
-            n = self.cycle(now)
-            if not n:
-                break
-            total += n
+    def drain(self, now, most: int | None = None) -> int:
+        """Cycles until nothing is due; after `most` cycles, if given, events that are still delivered are an error. (A
+        handler that defers by nothing makes its event due again, without end.)"""
+        total = cycles = 0
+        while n := self.cycle(now):
+            total, cycles = total + n, cycles + 1
+            if most is not None and cycles > most:
+                raise RuntimeError(f"events are still due after {most} cycles")
         return total
 
     def start(self, checkpoint: str, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)) -> StreamingQuery:

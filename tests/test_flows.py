@@ -206,3 +206,17 @@ def test_column_is_a_clock(spark, tmp_path):
     store = EventStore(spark, str(tmp_path))
     store.insert(ingest.normalize(envelopes(spark, 1), T0))
     assert store.poll(F.lit(T0).cast("timestamp_ntz"), 1).count() == 1
+
+
+def test_drain_has_no_silent_end(monkeypatch):
+    from relayloom.streaming.flows import Stack
+
+    left = [50] * 1200
+    monkeypatch.setattr(Stack, "cycle", lambda self, now: left.pop() if left else 0)
+    stack = Stack(None, None)
+    assert stack.drain(T0) == 60_000
+    left[:] = [50] * 4
+    with pytest.raises(RuntimeError):
+        stack.drain(T0, 3)
+    left[:] = [50] * 3
+    assert stack.drain(T0, 3) == 150
