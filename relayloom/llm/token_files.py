@@ -44,9 +44,9 @@ from relayloom.llm.token_counts import load
 BLOCK = 4096
 LANES = 1024
 END = 2
-MAGIC = b"RLT1"
+MAGIC = b"RLT2"
 #: Probabilities and counts are brought up to date here, in ids from a block's start.
-UPDATES = (64, 256, 1024)
+UPDATES = (64, 256, 1024, 2048, 3072)
 GAIN = 8  # weight of an occurrence in the slot counts, beside 1 for every slot
 BITS1, BITS2, SLOT, CONFIDENCE = 10, 11, 10, 3
 SLOTS, LEVELS = 1 << SLOT, 1 << CONFIDENCE

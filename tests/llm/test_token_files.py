@@ -103,3 +103,15 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
     write_token_files(no_docs, WORDS, str(tmp_path / "b"))
     assert token_file_digests(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_learning_goes_on_to_the_end_of_a_block():
+    import numpy as np
+
+    from relayloom.llm.token_files import BLOCK, encode_blocks
+
+    rng = np.random.default_rng(4)
+    ids = np.r_[rng.integers(1000, 2000, 1024), rng.integers(500, 516, BLOCK - 1024)].astype(np.int32)
+    late = np.r_[ids[:1024], rng.integers(1000, 2000, BLOCK - 1024)].astype(np.int32)
+    few, many = (8 * len(encode_blocks([x], 50_000)[0]) / BLOCK for x in (ids, late))
+    assert few < 9.5 and few < many - 2, (few, many)
