@@ -2,36 +2,38 @@
 
 Ids of documents, each with an end id, stand one after another in ascending doc_id order. They
 are cut into blocks of `BLOCK` ids. Every block starts from the same empty model, is range
-coded by itself and carries a checksum, so any block can be read alone, and many blocks
-are coded side by side, one to a lane of numpy arrays.
-
-The model of a block, all in integers so that reading repeats writing exactly:
-* order 2 and order 1: tables of the id that last followed the last two ids and the last
-  id, with a confidence;
-* how often each confidence was right gives two probabilities, mixed in the logistic domain by
-  weights that learn from the outcomes (one set where the orders agree, one where not), to the probability that order 2's id comes; what
-  remains goes to order 1's id by its own probability, and the rest to
-* order 0: adaptive counts of 1024 slots (the low bits of an id), then whether it is the id that was last seen in that slot, else
-  its high bits.
-Tables change with every id; probabilities, weights and counts are brought up to date from
-all that was seen at fixed places of a block (`UPDATES`), which keeps steps short.
+coded by itself and carries a checksum, so any block can be read alone.
+
+The model of a block, all in integers so that reading repeats writing exactly, learns at every id:
+* order 2 guesses the id that last followed the last two, order 1 the one that mostly followed the last one;
+* whether a guess is right is one binary decision. What each order knows about it (how often guesses of such
+  a confidence were right, for orders 2 and 1; how frequent the guessed id is, for order 0) is mixed in the logistic
+  domain, by weights that learn from the outcomes;
+* an id that neither guessed is coded by order 0: adaptive counts of the ids that the block had so far, and of new ones, which
+  follow in 16 bits.
+
+An id takes its turn after the one before it, which is a loop that neither SQL functions nor numpy can
+run side by side at a fair price. It is plain Java, `TokenCoder.java`: Spark's own compiler builds it on the driver when it is first
+used, Spark ships it to the executors, and it is called as a function of binary columns. Tokenizing is done by the library.
 
 A frame holds whole documents and all their blocks; frames are rows of a Parquet folder in the order of (part,
-seq), so files are written and read by Spark on whatever store it uses, task attempts are
-committed once, and a lost executor costs its tasks only. No step holds more than a frame (about `LANES` * `BLOCK` ids, or one
+seq), beside the ids, starts and lengths of their documents, so files are written and read by Spark on whatever store it uses, task attempts are
+committed once, and a lost executor costs its tasks only. No step holds more than a frame (about `FRAME` ids, or one
 longer document).
 
 Defined cases: a null text is empty, its document the end id alone; rows with a null doc_id come first;
 equal doc_ids go by text; an empty table gives an empty result; further columns are ignored;
-a damaged frame raises ValueError.
+a damaged frame or block, or a list of documents that was changed, is an error.
 """
 
 from __future__ import annotations
 
 import re
-import struct
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,277 +43,30 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from relayloom.llm.common import Cache, chunks, live, two
 from relayloom.llm.token_counts import load
 
-BLOCK = 4096
-LANES = 1024
+#: Ids of a block (also in TokenCoder.Pack), and of a frame at least, if there are as many.
+BLOCK = 1 << 16
+FRAME = 16 * BLOCK
 END = 2
-MAGIC = b"RLT2"
-#: Probabilities and counts are brought up to date here, in ids from a block's start.
-UPDATES = (64, 256, 1024, 2048, 3072)
-GAIN = 8  # weight of an occurrence in the slot counts, beside 1 for every slot
-BITS1, BITS2, SLOT, CONFIDENCE = 10, 11, 10, 3
-SLOTS, LEVELS = 1 << SLOT, 1 << CONFIDENCE
-STATES = 2 * LEVELS * LEVELS  # order 2's confidence, order 1's, and whether they agree
-#: Bits of the scales of the three symbols of an id: which order, slot, and what is in the slot.
-SCALE, SLOT_SCALE, HIGH_SCALE = 16, 14, 12
-#: A range begins with 62 bits; when it is below 46, 16 bits of what has been added up are put out. That digit may be too
-#: large by a carry, which goes to the digits before it when the block ends.
-RANGE, SHORT = 1 << 62, 1 << 46
-
-#: Logistic functions in integers: stretch of a 12-bit probability, squash to 16 bits of -2047 .. 2047.
-_p = (np.arange(4096) + 0.5) / 4096
-STRETCH = np.rint(np.log(_p / (1 - _p)) * 256).clip(-2047, 2047).astype(np.int64)
-SQUASH = np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))).clip(48, 65536 - 96).astype(np.int64)
-#: 12-bit hit probabilities of the confidences before anything was seen.
-_CONFIDENT = np.rint(4095 * np.array([0.05] + [(k + 0.3) / (k + 1.2) for k in range(1, LEVELS)])).astype(np.int64)
-
-
-class _Model:
-    """Predictions and their learning, for n lanes side by side; what a later step needs of an earlier one is in `seen`."""
-
-    def __init__(self, lanes: int, vocabulary: int, steps: int, reads: bool):
-        self.reads, self.highs = reads, -(-vocabulary >> SLOT)
-        self.table1, self.table2 = np.zeros(lanes << BITS1, np.int64), np.zeros(lanes << BITS2, np.int64)
-        slot = np.arange(SLOTS)
-        self.table0 = np.tile(np.where(slot < 512, slot + SLOTS, slot), lanes)
-        lane = np.arange(lanes)
-        self.at1, self.at2, self.at0, self.at_state, self.at_sum, self.at_value = lane << BITS1, lane << BITS2, lane << SLOT, lane * STATES, lane * (SLOTS + 1), lane << SLOT_SCALE
-        self.last = self.before = np.zeros(lanes, np.int64)
-        self.weight2 = np.full((lanes, 2), 45000, np.int64)
-        self.weight1 = np.tile(np.array([-12000, 30000], np.int64), (lanes, 1))
-        self.states = np.zeros((3, lanes, STATES), np.int64)  # seen, order 2 right, order 1 (and not 2) right
-        self.in_slot = np.zeros((2, lanes), np.int64)  # ids left to order 0, and of these the slot's last
-        self.counts = np.zeros((lanes, SLOTS), np.int32)
-        self.seen = np.zeros((2, steps, lanes), np.int16)  # state; outcome: 0 other in slot, 1 slot's last, 2 order 1, 3 order 2
-        self._rates(lanes)
-
-    def _rates(self, n: int) -> None:
-        """Shares of the symbols from all that was seen in the first n lanes."""
-        seen, right2, right1 = (x[:n].reshape(n, LEVELS, LEVELS, 2) for x in self.states)
-        both1 = right1.copy()
-        both1[..., 1] += right2[..., 1]
-        p2 = ((right2.sum((2, 3)) << 12) + 2 * _CONFIDENT) // (seen.sum((2, 3)) + 2)
-        p1 = ((both1.sum((1, 3)) << 12) + 2 * _CONFIDENT) // (seen.sum((1, 3)) + 2)
-        p2, p1 = p2.clip(1, 4094), p1.clip(1, 4094)
-        self.s2, self.s1 = STRETCH[p2][:, :, None, None], STRETCH[p1][:, None, :, None]
-        mixed = (self.weight2[:n, None, None, :] * self.s2 + self.weight1[:n, None, None, :] * self.s1) >> 16
-        self.mixed = SQUASH[mixed.clip(-2047, 2047) + 2048]
-        rest = np.maximum(((65536 - 64 - self.mixed) * (p1[:, None, :, None] << 4)) >> 16, 16)
-        rest[..., 1] = 0
-        self.share2, self.share1 = self.mixed.reshape(-1), rest.reshape(-1)
-        left, last = self.in_slot[:, :n]
-        self.same = (((last << HIGH_SCALE) + (4 << 10)) // (left + 4)).clip(64, (1 << HIGH_SCALE) - 512)
-        self.high = ((1 << HIGH_SCALE) - self.same) // self.highs
-        total = SLOTS + GAIN * self.counts[:n].sum(1, keepdims=True)
-        part = ((self.counts[:n] * GAIN + 1) * ((1 << SLOT_SCALE) - SLOTS)) // total + 1
-        part[:, 0] += (1 << SLOT_SCALE) - part.sum(1)
-        sums = np.zeros((n, SLOTS + 1), np.int32)
-        np.cumsum(part, axis=1, out=sums[:, 1:])
-        self.sums = sums.reshape(-1).astype(np.int64)
-        if self.reads:  # the slot of every value of the scale, lane by lane
-            self.slots = np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint16), n), part.ravel())
-
-    def update(self, n: int, first: int, to: int, ids: np.ndarray) -> None:
-        """Take in steps first..to of the first n lanes; ids of these steps, steps x lanes."""
-        state, outcome = (x[first:to, :n].astype(np.int64) for x in self.seen)
-        lane = np.arange(n)
-        flat, size = state + lane * STATES, n * STATES
-        new = [np.bincount(flat[w].ravel(), minlength=size).reshape(n, STATES) for w in (slice(None), outcome == 3, outcome == 2)]
-        error = ((new[1] << 12) - new[0] * (self.mixed[:n].reshape(n, STATES) >> 4)).reshape(n, LEVELS, LEVELS, 2)
-        self.weight2[:n] += (((error * self.s2[:n]).sum((1, 2))) >> 10).clip(-16384, 16384)
-        self.weight1[:n] += (((error * self.s1[:n]).sum((1, 2))) >> 10).clip(-16384, 16384)
-        for total, x in zip(self.states, new):
-            total[:n] += x
-        self.in_slot[0, :n] += (outcome < 2).sum(0)
-        self.in_slot[1, :n] += (outcome == 1).sum(0)
-        k = (ids & (SLOTS - 1)) + (lane << SLOT)
-        self.counts[:n] += np.bincount(k.ravel(), minlength=n << SLOT).reshape(n, SLOTS).astype(np.int32)
-        self._rates(n)
-
-    def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes: order 2's id, order 1's id, and their shares of 65536."""
-        last = self.last[:n]
-        self.i1 = (last & ((1 << BITS1) - 1)) + self.at1[:n]
-        self.i2 = ((self.before[:n] * 40503 + last * 2654435) >> 5 & ((1 << BITS2) - 1)) + self.at2[:n]
-        self.e1, self.e2 = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.c1, self.c2 = self.e1 >> CONFIDENCE, self.e2 >> CONFIDENCE
-        self.state = ((self.e2 & (LEVELS - 1)) << (CONFIDENCE + 1)) + ((self.e1 & (LEVELS - 1)) << 1) + (self.c1 == self.c2)
-        at = self.state + self.at_state[:n]
-        return self.c2, self.c1, self.share2.take(at), self.share1.take(at)
-
-    def learn(self, n: int, t: int, ids: np.ndarray, at0: np.ndarray, outcome: np.ndarray) -> None:
-        self.seen[0, t, :n] = self.state
-        self.seen[1, t, :n] = outcome
-        fresh = ids << CONFIDENCE
-        most = fresh | (LEVELS - 1)
-        self.table1[self.i1] = np.where(self.c1 == ids, np.minimum(self.e1 + 1, most), fresh)
-        self.table2[self.i2] = np.where(outcome == 3, np.minimum(self.e2 + 1, most), fresh)
-        self.table0[at0] = ids
-        self.before, self.last = self.last[:n], ids
-
-
-def _stretches(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(from, to, lanes): steps between which neither the lanes nor the shares change."""
-    cuts = sorted({0, *(u for u in UPDATES if u < lengths[0]), *lengths.tolist()})
-    for a, b in zip(cuts, cuts[1:]):
-        yield a, b, int((lengths > a).sum())
-
-
-def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """Payloads of blocks, the longest first."""
-    lengths = np.array([len(b) for b in blocks])
-    by_step = np.zeros((int(lengths[0]), len(blocks)), np.int64)
-    for k, b in enumerate(blocks):
-        by_step[: len(b), k] = b
-    model = _Model(len(blocks), vocabulary, len(by_step), False)
-    low, span = np.zeros(len(blocks), np.int64), np.full(len(blocks), RANGE)
-    out = np.zeros((len(blocks), len(by_step) * 3 + 8), np.uint32)
-    start = out.shape[1] * np.arange(len(blocks))
-    end, stop, flat, done = start.copy(), start.copy(), out.reshape(-1), 0
-    for first, to, n in _stretches(lengths):
-        if first in UPDATES:
-            model.update(n, done, first, by_step[done:first, :n])
-            done = first
-        low, span, end = low[:n], span[:n], end[:n]
-        at_sum, at0, same, high = model.at_sum[:n], model.at0[:n], model.same[:n], model.high[:n]
-        for t in range(first, to):
-            x = by_step[t, :n]
-            c2, c1, f2, f1 = model.predict(n)
-            second = c2 == x
-            other = (c1 == x) & ~second
-            both = f2 + f1
-            literal = ~(second | other)
-            below = np.where(literal, both, np.where(second, 0, f2))
-            share = np.where(literal, 65536 - both, np.where(second, f2, f1))
-            r = span >> SCALE
-            low += r * below
-            np.multiply(r, share, out=span)
-            slot = x & (SLOTS - 1)
-            at = at_sum + slot
-            a = model.sums.take(at)
-            share = np.where(literal, model.sums.take(at + 1) - a, 1 << SLOT_SCALE)
-            r = span >> SLOT_SCALE
-            low += r * (a * literal)
-            np.multiply(r, share, out=span)
-            at = at0 + slot
-            known = (model.table0.take(at) == x) & literal
-            below = np.where(known | ~literal, 0, same + (x >> SLOT) * high)
-            share = np.where(known, same, np.where(literal, high, 1 << HIGH_SCALE))
-            r = span >> HIGH_SCALE
-            low += r * below
-            np.multiply(r, share, out=span)
-            while len(k := np.flatnonzero(span < SHORT)):
-                at, l = end[k], low[k]
-                flat[at] = l >> 46
-                end[k] = at + 1
-                low[k] = (l & (SHORT - 1)) << 16
-                span[k] <<= 16
-            model.learn(n, t, x, at0 + slot, known + other * 2 + second * 3)
-        for k in np.flatnonzero(lengths[:n] == to):
-            for shift in (46, 30, 14):
-                flat[end[k]] = int(low[k]) >> shift & (0x1FFFF if shift == 46 else 0xFFFF)
-                end[k] += 1
-            flat[end[k]] = int(low[k]) << 2 & 0xFFFF
-            stop[k] = end[k] + 1
-    for t in range(int((stop - start).max()) - 1, 0, -1):
-        out[:, t - 1] += out[:, t] >> 16
-    return [flat[a:b].astype(np.uint16).tobytes() for a, b in zip(start, stop)]
-
-
-def decode_blocks(payloads: list[bytes], lengths: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Ids (blocks x longest) of payloads, the longest block first."""
-    by_step = np.zeros((int(lengths[0]), len(payloads)), np.int64)
-    model = _Model(len(payloads), vocabulary, len(by_step), True)
-    width = max(len(p) for p in payloads) // 2 + 8
-    digits = np.zeros((len(payloads), width), np.uint16)
-    for k, p in enumerate(payloads):
-        digits[k, : len(p) // 2] = np.frombuffer(p, np.uint16)
-    # A range has 14 bits and three digits: all moves by two bits, so that digits can be taken in whole.
-    digits[:, 1:] = digits[:, 1:] >> 2 | digits[:, :-1] << 14
-    digits[:, 0] >>= 2
-    flat, done = digits.reshape(-1), 0
-    end, stop = width * np.arange(len(payloads)) + 4, width * np.arange(1, len(payloads) + 1) - 1
-    span = np.full(len(payloads), RANGE)
-    code = digits[:, 0].astype(np.int64) << 48 | digits[:, 1].astype(np.int64) << 32 | digits[:, 2].astype(np.int64) << 16 | digits[:, 3]
-    for first, to, n in _stretches(lengths):
-        if first in UPDATES:
-            model.update(n, done, first, by_step[done:first, :n])
-            done = first
-        span, end, code, stop = span[:n], end[:n], code[:n], stop[:n]
-        at_sum, at_value, at0, same, high = model.at_sum[:n], model.at_value[:n], model.at0[:n], model.same[:n], model.high[:n]
-        for t in range(first, to):
-            c2, c1, f2, f1 = model.predict(n)
-            both = f2 + f1
-            r = span >> SCALE
-            value = np.minimum(code // r, 65535)
-            second, literal = value < f2, value >= both
-            code -= r * np.where(literal, both, np.where(second, 0, f2))
-            np.multiply(r, np.where(literal, 65536 - both, np.where(second, f2, f1)), out=span)
-            r = span >> SLOT_SCALE
-            slot = model.slots.take(at_value + np.minimum(code // r, (1 << SLOT_SCALE) - 1)).astype(np.int64)
-            at = at_sum + slot
-            a = model.sums.take(at)
-            code -= r * (a * literal)
-            np.multiply(r, np.where(literal, model.sums.take(at + 1) - a, 1 << SLOT_SCALE), out=span)
-            r = span >> HIGH_SCALE
-            value = np.minimum(code // r, (1 << HIGH_SCALE) - 1)
-            known = (value < same) & literal
-            top = np.minimum((value - same) // high, model.highs - 1)
-            code -= r * np.where(known | ~literal, 0, same + top * high)
-            np.multiply(r, np.where(known, same, np.where(literal, high, 1 << HIGH_SCALE)), out=span)
-            x = np.where(literal, np.where(known, model.table0.take(at0 + slot), (top << SLOT) + slot), np.where(second, c2, c1))
-            while len(k := np.flatnonzero(span < SHORT)):
-                at = end[k]
-                code[k] = code[k] << 16 | flat[np.minimum(at, stop[k])]  # damaged payloads may ask for more than there is
-                end[k] = at + 1
-                span[k] <<= 16
-            model.learn(n, t, x, at0 + (x & (SLOTS - 1)), known + (~literal & ~second) * 2 + second * 3)
-            by_step[t, :n] = x
-    return by_step.T
-
-
-# Frames: MAGIC, CRC-32 of what follows; documents, blocks, vocabulary; for each document its id, whether it has one,
-# and its number of ids; for each block its number of ids, payload bytes and the CRC-32 of its ids; the payloads.
-_HEAD = struct.Struct("<4sI")
-_SIZES = struct.Struct("<III")
-
-
-def write_frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
-    ids = np.ascontiguousarray(ids, np.uint32)
-    blocks = [ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)]
-    payloads = [p for a in range(0, len(blocks), LANES) for p in encode_blocks(blocks[a : a + LANES], vocabulary)]
-    body = _SIZES.pack(len(doc_ids), len(blocks), vocabulary)
-    body += np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([x is not None for x in doc_ids], np.uint8).tobytes() + np.array(lengths, "<u4").tobytes()
-    body += np.array([(len(b), len(p), zlib.crc32(b.tobytes())) for b, p in zip(blocks, payloads)], "<u4").tobytes()
-    body += b"".join(payloads)
-    return _HEAD.pack(MAGIC, zlib.crc32(body)) + body
-
-
-def read_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, numbers of ids, and the ids one after another."""
-    magic, crc = _HEAD.unpack_from(frame)
-    body = memoryview(frame)[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != crc:
-        raise ValueError("damaged frame")
-    documents, blocks, vocabulary = _SIZES.unpack_from(body)
-    at = _SIZES.size
-    doc_ids = np.frombuffer(body, "<i8", documents, at)
-    there = np.frombuffer(body, np.uint8, documents, at + 8 * documents)
-    lengths = np.frombuffer(body, "<u4", documents, at + 9 * documents).astype(np.int64)
-    at += 13 * documents
-    table = np.frombuffer(body, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
-    at += 12 * blocks
-    ends = at + np.cumsum(table[:, 1])
-    payloads = [bytes(body[e - s : e]) for e, s in zip(ends.tolist(), table[:, 1].tolist())]
-    parts = []
-    for a in range(0, blocks, LANES):
-        some = table[a : a + LANES]
-        for got, (n, _, check) in zip(decode_blocks(payloads[a : a + LANES], some[:, 0], vocabulary), some.tolist()):
-            part = got[:n].astype(np.uint32)
-            if zlib.crc32(part.tobytes()) != check:
-                raise ValueError("damaged block")
-            parts.append(part)
-    ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-    return [int(x) if y else None for x, y in zip(doc_ids, there)], lengths, ids
+#: Parts whose first positions are broadcast at most; there is one for each task that wrote.
+BROADCAST = 100_000
+
+
+def register_coder(spark: SparkSession) -> None:
+    """Make the functions token_pack (16-bit ids to a frame) and token_unpack (back) known to the session."""
+    sc, session = spark.sparkContext, spark._jsparkSession
+    made = getattr(sc, "_relayloom_coder", None)
+    if made is None:
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(Path(__file__).with_name("TokenCoder.java").read_text())
+        target = Path(tempfile.mkdtemp()) / "token-coder.jar"
+        with zipfile.ZipFile(target, "w") as z:
+            for name, code in dict(compiler.getBytecodes()).items():
+                z.writestr(name.replace(".", "/") + ".class", bytes(code))
+        sc._jsc.addJar(str(target))  # executors load it from there
+        made = sc._relayloom_coder = compiler.getClassLoader()
+    for name in ("Pack", "Unpack"):
+        function = made.loadClass(f"relayloom.TokenCoder${name}").newInstance()
+        session.udf().register(f"token_{name.lower()}", function, session.parseDataType('"binary"'))
 
 
 #: Texts of these characters are split here; the library gets any other text as a whole.
@@ -321,7 +76,8 @@ _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-
 
 
 class Tokens:
-    """Ids, as bytes, of pre-tokens; what is between them is white space, which this tokenizer drops.
+    """Ids, as bytes, of texts. White space, which this tokenizer drops, cuts a text into pieces, and pieces repeat; a
+    new one is made of its pre-tokens, which repeat still more.
 
     The library encodes what is new in a batch of texts in one go: pre-tokens joined by blanks,
     whose ids are told apart by the word-end mark that the last token of each has."""
@@ -332,16 +88,20 @@ class Tokens:
         for entry, i in self.library.get_vocab().items():
             ends[i] = entry.endswith("</w>")
         self.ends = ends
-        self.words = Cache(self._whole, 600_000)
+        self.special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.pieces, self.words = Cache(self._piece, 300_000), Cache(self._whole, 300_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _PRE.findall(piece.lower())))
+
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words and w not in self.words.old]
         for at in range(0, len(new), 100_000):
             some = new[at : at + 100_000]
-            joined = [" ".join(some[k : k + 1000]) for k in range(0, len(some), 1000)]
+            joined = [" ".join(some[k : k + 200]) for k in range(0, len(some), 200)]
             ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint16)
             raw, cuts = ids.tobytes(), np.r_[0, 2 * (np.flatnonzero(self.ends[ids]) + 1)].tolist()
             if len(cuts) != len(some) + 1:
@@ -349,57 +109,85 @@ class Tokens:
             for w, a, b in zip(some, cuts, cuts[1:]):
                 self.words.put(w, raw[a:b])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [_PLAIN_TEXT.fullmatch(t) is not None and "<|" not in t for t in texts]
-        split = [_PRE.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
-        self._learn(set().union(*(x for x in split if x)))
-        get = self.words.__getitem__
-        return [np.frombuffer(self._whole(t) if x is None else b"".join(map(get, x)), np.uint16) for t, x in zip(texts, split)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 16-bit ids of each text."""
+        get, out, holes = self.pieces.get, [], []
+        for text in texts:
+            if _PLAIN_TEXT.fullmatch(text) is None or self.special.search(text):
+                out.append([self._whole(text)])
+                continue
+            own = text.split()
+            out.append(list(map(get, own)))
+            if None in out[-1]:
+                holes.append((out[-1], own))
+        missing = {x for parts, own in holes for p, x in zip(parts, own) if p is None and x not in self.pieces.old}
+        self._learn({w for x in missing for w in _PRE.findall(x.lower())})
+        for parts, own in holes:
+            for k, p in enumerate(parts):
+                if p is None:
+                    parts[k] = self.pieces[own[k]]
+        return list(map(b"".join, out))
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    return live(("token files", path), lambda: Tokens(path)).encode(texts)
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    return live(("token files", path), lambda: Tokens(path)).encode(texts)
+_DOCUMENTS = "doc_ids array<long>, starts array<long>, lengths array<int>, documents_crc32 long"
 
 
-_FRAMES = "part int, seq int, at long, n_ids long, frame binary"
+def _documents_crc32(doc_ids: list, starts: np.ndarray, lengths: np.ndarray) -> int:
+    """Of the documents of a frame: ids, which of them are null, starts, lengths."""
+    ids = np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is not None for x in doc_ids], np.uint8)
+    return zlib.crc32(b"".join(x.tobytes() for x in (*ids, np.asarray(starts, "<i8"), np.asarray(lengths, "<i4"))))
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str) -> None:
-    """Tokenize, append the end id, and write frames to folder. `at` is the number of a part's ids before the frame."""
-    out = docs.sparkSession.createDataFrame([], _FRAMES).schema
+    """Tokenize, append the end id, and write frames to folder. `starts` count from the first id of a part."""
+    register_coder(docs.sparkSession)
+    out = docs.sparkSession.createDataFrame([], f"part int, seq int, n_ids long, {_DOCUMENTS}, ids binary").schema
     rows = two(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, vocabulary = TaskContext.get().partitionId(), load(path).get_vocab_size()
-        if vocabulary > 1 << 16:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, part = to_arrow_schema(out), TaskContext.get().partitionId()
+        if load(path).get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         seq, at, size, doc_ids, held = 0, 0, 0, [], []
-        end = np.array([END], np.uint16)
+        end = np.array([END], "<u2").tobytes()
 
         def frame():
-            data = write_frame(doc_ids, [len(x) for x in held], np.concatenate(held), vocabulary)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=out.names)
+            lengths = np.fromiter(map(len, held), np.int64, len(held)) // 2
+            starts = at + np.cumsum(lengths) - lengths
+            values = [part, seq, size, doc_ids, starts, lengths, _documents_crc32(doc_ids, starts, lengths), b"".join(held)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
         for some in chunks(batches):
             for doc_id, made in zip(some.column("doc_id").to_pylist(), encode_texts([t or "" for t in some.column("text").to_pylist()], path)):
                 doc_ids.append(doc_id)
-                held.append(np.concatenate([made, end]))
-                size += len(held[-1])
-                if size >= LANES * BLOCK:
+                held.append(made + end)
+                size += len(held[-1]) // 2
+                if size >= FRAME:
                     yield frame()
                     seq, at, size, doc_ids, held = seq + 1, at + size, 0, [], []
         if held:
             yield frame()
 
-    rows.mapInArrow(run, out).write.option("compression", "none").parquet(folder)
+    framed = rows.mapInArrow(run, out).withColumn("frame", F.call_function("token_pack", "ids")).drop("ids")
+    framed.write.option("compression", "none").parquet(folder)
 
 
 def _read(spark: SparkSession, folder: str, describe, schema: str) -> DataFrame:
     """describe(ids of a document) for each document, with doc_id, start and n_tokens."""
+    register_coder(spark)
     frames = spark.read.parquet(folder)
     ids = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a part: no more than write tasks
     first = ids.select(F.col("part").alias("__part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
-    joined = frames.join(F.broadcast(first), F.col("part") == F.col("__part")).select((F.col("first") + F.col("at")).alias("at"), "frame")
+    if ids.count() <= BROADCAST:
+        first = F.broadcast(first)
+    joined = frames.join(first, F.col("part") == F.col("__part"))
+    read = joined.select("first", "doc_ids", "starts", "lengths", "documents_crc32", F.call_function("token_unpack", "frame").alias("ids"))
     out = spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {schema}").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,16 +195,17 @@ def _read(spark: SparkSession, folder: str, describe, schema: str) -> DataFrame:
 
         arrow = to_arrow_schema(out)
         for some in chunks(batches):
-            for at, frame in zip(some.column("at").to_pylist(), some.column("frame").to_pylist()):
-                doc_ids, lengths, ids = read_frame(frame)
+            for row in some.to_pylist():
+                starts, lengths, ids = np.array(row["starts"]), np.array(row["lengths"], np.int64), np.frombuffer(row["ids"], "<u2")
+                if row["documents_crc32"] != _documents_crc32(row["doc_ids"], starts, lengths) or len(ids) != lengths.sum():
+                    raise ValueError("damaged documents")
                 each = np.split(ids, np.cumsum(lengths)[:-1])
-                start = at + np.cumsum(lengths) - lengths
                 for a in range(0, len(each), 10_000):
                     cut = slice(a, a + 10_000)
-                    columns = [doc_ids[cut], start[cut], lengths[cut], [describe(x) for x in each[cut]]]
+                    columns = [row["doc_ids"][cut], row["first"] + starts[cut], lengths[cut], [describe(x) for x in each[cut]]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return joined.mapInArrow(run, out)
+    return read.mapInArrow(run, out)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -426,4 +215,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files."""
-    return _read(spark, folder, lambda x: zlib.crc32(x.tobytes()), "ids_crc32 long")
+    return _read(spark, folder, lambda x: zlib.crc32(x.astype("<u4").tobytes()), "ids_crc32 long")

@@ -3,51 +3,88 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from relayloom.llm import token_files
 from relayloom.llm.common import table
 from relayloom.llm.queries import op2_token_files
-from relayloom.llm.token_files import encode_texts, read_frame, read_token_files, token_file_digests, write_frame, write_token_files
+from relayloom.llm.token_files import BLOCK, encode_texts, read_token_files, register_coder, token_file_digests, write_token_files
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("kind", ["random", "same", "skewed", "repeating", "largest"])
-@pytest.mark.parametrize("n", [1, 2, 383, 385, 8192, 8193, 40_000])
-def test_round_trip(kind, n):
-    rng = np.random.default_rng(n)
-    ids = {
-        "random": lambda: rng.integers(0, 49408, n),
-        "same": lambda: np.full(n, 7),
-        "skewed": lambda: (rng.pareto(0.7, n) * 3).astype(np.int64) % 49408,
-        "repeating": lambda: np.tile(rng.integers(0, 49408, 50), n // 50 + 1)[:n],
-        "largest": lambda: rng.choice([0, 49407, 49406], n),
-    }[kind]()
-    doc_ids, lengths, got = read_frame(write_frame([5, None], [n - 1, 1], ids, 49408))
-    assert doc_ids == [5, None] and lengths.tolist() == [n - 1, 1] and (got == ids).all()
+def pack(spark, *ids):
+    """Frames of 16-bit ids, by the function that writes files."""
+    register_coder(spark)
+    rows = spark.createDataFrame([(k, np.asarray(x, "<u2").tobytes()) for k, x in enumerate(ids)], "k int, ids binary")
+    return [bytes(r.frame) for r in rows.select("k", F.call_function("token_pack", "ids").alias("frame")).orderBy("k").collect()]
 
 
-def test_what_repeats_takes_little():
+def unpack(spark, *frames):
+    register_coder(spark)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(frames)], "k int, frame binary")
+    return [np.frombuffer(r.ids, "<u2") for r in rows.select("k", F.call_function("token_unpack", "frame").alias("ids")).orderBy("k").collect()]
+
+
+@pytest.mark.parametrize("kind", ["random", "same", "skewed", "repeating", "largest", "every"])
+def test_round_trip(spark, kind):
+    made = []
+    for n in (0, 1, 2, 383, 385, BLOCK, BLOCK + 1, 3 * BLOCK - 1):
+        rng = np.random.default_rng(n)
+        made.append({
+            "random": lambda: rng.integers(0, 49408, n),
+            "same": lambda: np.full(n, 7),
+            "skewed": lambda: (rng.pareto(0.7, n) * 3).astype(np.int64) % 49408,
+            "repeating": lambda: np.tile(rng.integers(0, 49408, 50), n // 50 + 1)[:n],
+            "largest": lambda: rng.choice([0, 65535, 65534], n),
+            "every": lambda: rng.permutation(np.arange(n) % 65536),
+        }[kind]())
+    for ids, got in zip(made, unpack(spark, *pack(spark, *made)), strict=True):
+        assert (got == ids).all() and len(got) == len(ids)
+
+
+def test_what_repeats_takes_little(spark):
     rng = np.random.default_rng(0)
     unit = rng.integers(0, 49408, 50)
-    assert len(write_frame([1], [8000], np.tile(unit, 160), 49408)) < 1500
+    assert len(pack(spark, np.tile(unit, 160))[0]) < 500
     words = (rng.pareto(0.7, 80_000) * 3).astype(np.int64) % 49408
-    assert len(write_frame([1], [80_000], words, 49408)) < 80_000 * 2 * 0.75
+    assert len(pack(spark, words)[0]) < 80_000 * 2 * 0.75
+
+
+def entropy(ids):
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    return -(share * np.log2(share)).sum()
 
 
-def test_damage_is_noticed():
-    frame = bytearray(write_frame([1], [500], np.arange(500), 49408))
+def test_smaller_than_the_entropy_of_single_ids(spark):
+    """What the two orders above 0 are worth, learning included: ids of the texts themselves."""
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").limit(400).collect()]
+    ids = np.frombuffer(b"".join(encode_texts(texts, WORDS)), "<u2")
+    assert 8 * len(pack(spark, ids)[0]) / len(ids) < entropy(ids)
+
+
+def test_damage_is_noticed(spark):
+    frame = pack(spark, np.arange(500))[0]
     for at in (0, 5, 20, len(frame) // 2, len(frame) - 3):
         bad = bytearray(frame)
         bad[at] ^= 4
-        with pytest.raises(ValueError):
-            read_frame(bytes(bad))
+        with pytest.raises(Exception, match="damaged frame"):
+            unpack(spark, bytes(bad))
     body = bytearray(frame)
     body[-100] ^= 1  # with a frame checksum that is right, the block's own finds it
     body[4:8] = zlib.crc32(body[8:]).to_bytes(4, "little")
-    with pytest.raises(ValueError, match="block"):
-        read_frame(bytes(body))
+    with pytest.raises(Exception, match="damaged block"):
+        unpack(spark, bytes(body))
+    with pytest.raises(Exception, match="damaged frame"):
+        unpack(spark, b"short")
+
+
+def test_changed_lists_of_documents_are_noticed(spark, sf, tmp_path):
+    write_token_files(table(spark, sf, "documents").limit(20), WORDS, str(tmp_path / "a"))
+    spark.read.parquet(str(tmp_path / "a")).withColumn("lengths", F.reverse("lengths")).write.parquet(str(tmp_path / "b"))
+    with pytest.raises(Exception, match="damaged documents"):
+        read_token_files(spark, str(tmp_path / "b")).collect()
 
 
 def brute(docs):
@@ -65,24 +102,26 @@ def test_query_equals_brute_force(spark, sf):
 
 
 def test_many_small_frames(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "FRAME", 700)
     docs = table(spark, sf, "documents").limit(60)
     ids = {r.doc_id: r.text for r in docs.collect()}
     write_token_files(docs.repartition(3), WORDS, str(tmp_path / "f"))
     lib = Tokenizer.from_file(WORDS)
     for r in read_token_files(spark, str(tmp_path / "f")).collect():
         assert r.ids == [*lib.encode(ids[r.doc_id], add_special_tokens=False).ids, 2]
-    monkeypatch.setattr(token_files, "LANES", 2)
-    monkeypatch.setattr(token_files, "BLOCK", 700)
-    data = (np.random.default_rng(1).pareto(0.7, 5000) * 3).astype(np.int64) % 49408
-    assert (read_frame(write_frame([1], [5000], data, 49408))[2] == data).all()
+    frames = spark.read.parquet(str(tmp_path / "f"))
+    assert frames.count() > 10
+    got = {r.doc_id: tuple(r)[1:] for r in token_file_digests(spark, str(tmp_path / "f")).collect()}
+    assert got == brute(docs.collect())
 
 
 def test_ids_equal_the_library():
     lib = Tokenizer.from_file(WORDS)
+    ids_of = lambda t: [np.frombuffer(x, "<u2").tolist() for x in encode_texts(t, WORDS)]
     texts = ["", " ", "Hello, WORLD's don't 12 <|endoftext|>x  ÉéΣ 日本 a b", "x" * 5000, "</w> </w>a", "İstanbul ŒUVRE \x1c9"]
     want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
-        assert [x.tolist() for x in encode_texts(texts, WORDS)] == want
+        assert ids_of(texts) == want
 
 
 def test_plain_characters_split_as_the_library_splits():
@@ -90,7 +129,7 @@ def test_plain_characters_split_as_the_library_splits():
     chars = [chr(c) for c in range(0x250)]
     texts = [f"a{c}b {c} {c}{c}1{c}'s a{c.upper()}" for c in chars]
     want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in encode_texts(texts, WORDS)] == want
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode_texts(texts, WORDS)] == want
 
 
 def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
@@ -105,13 +144,8 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert token_file_digests(spark, str(tmp_path / "b")).count() == 0
 
 
-def test_learning_goes_on_to_the_end_of_a_block():
-    import numpy as np
-
-    from relayloom.llm.token_files import BLOCK, encode_blocks
-
+def test_learning_goes_on_to_the_end_of_a_block(spark):
     rng = np.random.default_rng(4)
-    ids = np.r_[rng.integers(1000, 2000, 1024), rng.integers(500, 516, BLOCK - 1024)].astype(np.int32)
-    late = np.r_[ids[:1024], rng.integers(1000, 2000, BLOCK - 1024)].astype(np.int32)
-    few, many = (8 * len(encode_blocks([x], 50_000)[0]) / BLOCK for x in (ids, late))
-    assert few < 9.5 and few < many - 2, (few, many)
+    start = rng.integers(1000, 2000, 16_384)
+    few, many = (8 * len(x) / BLOCK for x in pack(spark, np.r_[start, rng.integers(500, 516, BLOCK - 16_384)], np.r_[start, rng.integers(1000, 2000, BLOCK - 16_384)]))
+    assert few < 8 and few < many - 3, (few, many)
