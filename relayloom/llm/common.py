@@ -76,6 +76,23 @@ class Cache(dict):
             self.clear()
         self[key] = value
 
+    def known(self, keys: set) -> tuple[dict, list]:
+        """What is known of these keys, and the keys that are not."""
+        get, old = self.get, self.old
+        found = {k: v for k in keys if (v := get(k)) is not None}
+        if old and len(found) < len(keys):
+            again = {k: old[k] for k in keys if k not in found and k in old}
+            self.update_all(again)
+            found |= again
+        return found, [k for k in keys if k not in found]
+
+    def update_all(self, made: dict) -> None:
+        """Put many at once, however many."""
+        if len(self) + len(made) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(made)
+
 
 _live: dict[tuple, object] = {}
 

@@ -47,6 +47,8 @@ from relayloom.llm.token_counts import load
 BLOCK = 1 << 16
 FRAME = 16 * BLOCK
 END = 2
+#: Pieces of text whose ids a Python worker keeps.
+PIECES = 700_000
 #: Parts whose first positions are broadcast at most; there is one for each task that wrote.
 BROADCAST = 100_000
 
@@ -89,43 +91,58 @@ class Tokens:
             ends[i] = entry.endswith("</w>")
         self.ends = ends
         self.special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.pieces, self.words = Cache(self._piece, 300_000), Cache(self._whole, 300_000)
+        # Pieces are quickly made again of words, so they are dropped all at once when there are too many.
+        self.pieces, self.words = {}, Cache(None, 300_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _PRE.findall(piece.lower())))
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words and w not in self.words.old]
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens."""
+        known, new = self.words.known(words)
         for at in range(0, len(new), 100_000):
             some = new[at : at + 100_000]
             joined = [" ".join(some[k : k + 200]) for k in range(0, len(some), 200)]
             ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint16)
-            raw, cuts = ids.tobytes(), np.r_[0, 2 * (np.flatnonzero(self.ends[ids]) + 1)].tolist()
-            if len(cuts) != len(some) + 1:
+            raw, cuts = ids.tobytes(), (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
                 raise ValueError("this vocabulary marks no word ends")
-            for w, a, b in zip(some, cuts, cuts[1:]):
-                self.words.put(w, raw[a:b])
+            made = {w: raw[a:b] for w, a, b in zip(some, [0, *cuts], cuts)}
+            self.words.update_all(made)
+            known |= made
+        return known
+
+    def _pieces(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept yet."""
+        split = {p: _PRE.findall(p.lower()) for p in new}
+        get = self._words(set().union(*split.values())).__getitem__
+        made = {p: b"".join(map(get, ws)) for p, ws in split.items()}
+        if len(self.pieces) + len(made) > PIECES:
+            self.pieces.clear()
+        self.pieces.update(made)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        get, out, holes = self.pieces.get, [], []
+        get, out, holes, missing = self.pieces.get, [], [], set()
         for text in texts:
             if _PLAIN_TEXT.fullmatch(text) is None or self.special.search(text):
                 out.append([self._whole(text)])
                 continue
             own = text.split()
-            out.append(list(map(get, own)))
-            if None in out[-1]:
-                holes.append((out[-1], own))
-        missing = {x for parts, own in holes for p, x in zip(parts, own) if p is None and x not in self.pieces.old}
-        self._learn({w for x in missing for w in _PRE.findall(x.lower())})
-        for parts, own in holes:
-            for k, p in enumerate(parts):
-                if p is None:
-                    parts[k] = self.pieces[own[k]]
+            parts = list(map(get, own))
+            out.append(parts)
+            if None in parts:
+                k, open_ = -1, []
+                for _ in range(parts.count(None)):
+                    k = parts.index(None, k + 1)
+                    open_.append(k)
+                missing.update([own[k] for k in open_])
+                holes.append((parts, own, open_))
+        made = self._pieces(missing)
+        for parts, own, open_ in holes:
+            for k in open_:
+                parts[k] = made[own[k]]
         return list(map(b"".join, out))
 
 
