@@ -18,7 +18,7 @@ used, Spark ships it to the executors, and it is called as a function of binary
 
 A frame holds whole documents and all their blocks; frames are rows of a Parquet folder in the order of (part,
 seq), beside the ids, starts and lengths of their documents, so files are written and read by Spark on whatever store it uses, task attempts are
-committed once, and a lost executor costs its tasks only. No step holds more than a frame (about `FRAME` ids, or one
+committed once, and a lost executor costs its tasks only. No step holds more than a frame (about `FRAME` bytes of text, or one
 longer document).
 
 Defined cases: a null text is empty, its document the end id alone; rows with a null doc_id come first;
@@ -37,15 +37,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
 
 from relayloom.llm.common import Cache, chunks, live, two
 from relayloom.llm.token_counts import load
 
-#: Ids of a block (also in TokenCoder.Pack), and of a frame at least, if there are as many.
+#: Ids of a block (also in TokenCoder.Pack), and bytes of text that are made one frame.
 BLOCK = 1 << 16
-FRAME = 16 * BLOCK
+FRAME = 8 << 20
 END = 2
 #: Pieces of text whose ids a Python worker keeps.
 PIECES = 700_000
@@ -72,38 +74,39 @@ def register_coder(spark: SparkSession) -> None:
 
 
 #: Texts of these characters are split here; the library gets any other text as a whole.
-_PLAIN_TEXT = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*")
+_PLAIN = r"[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*"
 #: The tokenizer's pre-token pattern on such texts in lower case, where these are all the letters and digits.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+")
 
 
 class Tokens:
-    """Ids, as bytes, of texts. White space, which this tokenizer drops, cuts a text into pieces, and pieces repeat; a
+    """Ids of many texts at once. White space, which this tokenizer drops, cuts texts into pieces; Arrow finds the distinct pieces
+    of a batch, and puts their ids in the places of the pieces. A piece's ids are kept; a
     new one is made of its pre-tokens, which repeat still more.
 
-    The library encodes what is new in a batch of texts in one go: pre-tokens joined by blanks,
+    The library encodes what is new in a batch in one go: pre-tokens joined by blanks,
     whose ids are told apart by the word-end mark that the last token of each has."""
 
     def __init__(self, path: str):
         self.library = load(path)
+        # Pre-tokens of plain texts are normal already: lower case, and of characters that don't combine.
+        self.of_words = Tokenizer.from_str(self.library.to_str())
+        self.of_words.normalizer = None
         ends = np.zeros(self.library.get_vocab_size(), bool)
         for entry, i in self.library.get_vocab().items():
             ends[i] = entry.endswith("</w>")
         self.ends = ends
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.special = "|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values())
         # Pieces are quickly made again of words, so they are dropped all at once when there are too many.
         self.pieces, self.words = {}, Cache(None, 300_000)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
     def _words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens."""
         known, new = self.words.known(words)
         for at in range(0, len(new), 100_000):
             some = new[at : at + 100_000]
             joined = [" ".join(some[k : k + 200]) for k in range(0, len(some), 200)]
-            ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint16)
+            ids = np.array([i for e in self.of_words.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint16)
             raw, cuts = ids.tobytes(), (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(some):
                 raise ValueError("this vocabulary marks no word ends")
@@ -114,7 +117,7 @@ class Tokens:
 
     def _pieces(self, new: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept yet."""
-        split = {p: _PRE.findall(p.lower()) for p in new}
+        split = {p: _PRE.findall(p) for p in new}
         get = self._words(set().union(*split.values())).__getitem__
         made = {p: b"".join(map(get, ws)) for p, ws in split.items()}
         if len(self.pieces) + len(made) > PIECES:
@@ -122,34 +125,59 @@ class Tokens:
         self.pieces.update(made)
         return made
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        get, out, holes, missing = self.pieces.get, [], [], set()
-        for text in texts:
-            if _PLAIN_TEXT.fullmatch(text) is None or self.special.search(text):
-                out.append([self._whole(text)])
-                continue
-            own = text.split()
-            parts = list(map(get, own))
-            out.append(parts)
-            if None in parts:
-                k, open_ = -1, []
-                for _ in range(parts.count(None)):
-                    k = parts.index(None, k + 1)
-                    open_.append(k)
-                missing.update([own[k] for k in open_])
-                holes.append((parts, own, open_))
-        made = self._pieces(missing)
-        for parts, own, open_ in holes:
-            for k in open_:
-                parts[k] = made[own[k]]
-        return list(map(b"".join, out))
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts."""
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        ends = cut.offsets.to_numpy()
+        coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = list(map(self.pieces.get, own))
+        holes = [k for k, p in enumerate(parts) if p is None]
+        made = self._pieces({own[k] for k in holes})
+        for k in holes:
+            parts[k] = made[own[k]]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        ids = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], np.frombuffer(b"".join(parts), np.uint16))
+        at = np.r_[0, np.cumsum(size[coded.indices.to_numpy()])]
+        return ids.take(coded.indices).flatten().to_numpy(), np.diff(at[ends - ends[0]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after another, and how many each has."""
+        texts = texts.fill_null("")
+        plain = pc.match_substring_regex(texts, rf"\A{_PLAIN}\z")
+        if self.special:
+            plain = pc.and_not(plain, pc.match_substring_regex(texts, self.special))
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        ids, easy = self._split(texts.filter(plain)) if len(odd) < len(texts) else (np.empty(0, np.uint16), np.empty(0, np.int64))
+        if not len(odd):
+            return ids, easy
+        found = [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[plain.to_numpy(zero_copy_only=False)] = easy
+        # Odd texts are put between the others.
+        before = np.cumsum(lengths)[odd]
+        ids = np.concatenate([x for a, b, own in zip(np.r_[0, before], before, found) for x in (ids[a:b], own)] + [ids[before[-1] :]])
+        lengths[odd] = list(map(len, found))
+        return ids, lengths
+
+
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return live(("token files", path), lambda: Tokens(path)).encode(texts)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows of so many bytes or more; fewer at the end."""
+    held, size = [], 0
+    for batch in chunks(batches, least):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _DOCUMENTS = "doc_ids array<long>, starts array<long>, lengths array<int>, documents_crc32 long"
 
 
@@ -171,25 +199,15 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> None:
         arrow, part = to_arrow_schema(out), TaskContext.get().partitionId()
         if load(path).get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        seq, at, size, doc_ids, held = 0, 0, 0, [], []
-        end = np.array([END], "<u2").tobytes()
-
-        def frame():
-            lengths = np.fromiter(map(len, held), np.int64, len(held)) // 2
-            starts = at + np.cumsum(lengths) - lengths
-            values = [part, seq, size, doc_ids, starts, lengths, _documents_crc32(doc_ids, starts, lengths), b"".join(held)]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
-
-        for some in chunks(batches):
-            for doc_id, made in zip(some.column("doc_id").to_pylist(), encode_texts([t or "" for t in some.column("text").to_pylist()], path)):
-                doc_ids.append(doc_id)
-                held.append(made + end)
-                size += len(held[-1]) // 2
-                if size >= FRAME:
-                    yield frame()
-                    seq, at, size, doc_ids, held = seq + 1, at + size, 0, [], []
-        if held:
-            yield frame()
+        seq = at = 0
+        for some in _gathered(batches, FRAME):
+            ids, lengths = encode_texts(some["text"].combine_chunks(), path)
+            ids = np.insert(ids, np.cumsum(lengths), END)
+            lengths += 1
+            doc_ids, starts = some["doc_id"].to_pylist(), at + np.cumsum(lengths) - lengths
+            values = [part, seq, len(ids), doc_ids, starts, lengths, _documents_crc32(doc_ids, starts, lengths), ids.astype("<u2").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
+            seq, at = seq + 1, at + len(ids)
 
     framed = rows.mapInArrow(run, out).withColumn("frame", F.call_function("token_pack", "ids")).drop("ids")
     framed.write.option("compression", "none").parquet(folder)
