@@ -1,13 +1,14 @@
 """Headers as JSON text: a flat object of strings.
 
 Encoding is a built-in. Decoding is strict where the built-in parser is lenient, and lenient
-in two places where it is not, so texts go through an Arrow UDF; null and plainly well-formed
-texts never reach it (`decode_headers`).
+in two places where it is not, so texts go through an Arrow UDF, which gets nulls for null and plainly well-formed
+texts (`decode_headers`).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -126,3 +127,23 @@ def decode_strict(text: Column) -> Column:
 
 def needs_parser(text: Column) -> Column:
     return text.isNotNull() & ~text.rlike(_SIMPLE)
+
+
+def decode_headers(text: Column) -> Column:
+    """struct(headers, error), by the built-in parser where that gives the same."""
+    hard = needs_parser(text)
+    strict = decode_strict(F.when(hard, text))
+    easy = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.struct(F.when(hard, strict["headers"]).otherwise(easy).alias("headers"), F.when(hard, strict["error"]).alias("error"))
+
+
+@dataclass(frozen=True)
+class Codec:
+    """How headers become text and come back; another pair of column functions may take the place of this one."""
+
+    encode: Callable[[Column], Column] = encode_headers
+    #: To a struct of headers (a map) and error.
+    decode: Callable[[Column], Column] = decode_headers
+
+
+CODEC = Codec()

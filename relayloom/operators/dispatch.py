@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from relayloom.functions.headers import decode_strict, needs_parser
+from relayloom.functions.headers import CODEC, Codec
 from relayloom.functions.times import plus_millis, to_millis
 from relayloom.operators.ingest import RULES
+from relayloom.operators.ranks import numbered, ranked  # noqa: F401
 from relayloom.operators.routing import route
 from relayloom.operators.scans import poll_pending
 from relayloom.schema import MAX_PAYLOAD_BYTES, ORDER, instant
@@ -41,21 +43,6 @@ class Result:
 DONE = Result()
 
 
-def numbered(events: DataFrame, by: Iterable[str] = ORDER, within: str | None = None) -> DataFrame:
-    """events with `rank` (0, 1, ...) in the order of `by`, within a column if one is given; without one all
-    rows meet in one task, which is for queues of a bounded capacity."""
-    window = Window.partitionBy(F.lit(0) if within is None else F.col(within)).orderBy(*by)
-    return events.withColumn("rank", F.row_number().over(window) - 1)
-
-
-def ranked(events: DataFrame, by: Iterable[str] = ORDER) -> DataFrame:
-    """events with `rank` (0, 1, ...) in the order of `by` over all rows: sorted by range, each range counted, so
-    that no task holds more than its share."""
-    schema = T.StructType([*events.schema.fields, T.StructField("rank", T.LongType())])
-    rows = events.orderBy(*by).rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return events.sparkSession.createDataFrame(rows, schema, verifySchema=False)
-
-
 def accept(events: DataFrame, capacity: int) -> DataFrame:
     """The events that a bounded queue takes; the rest is dropped, and found again by a poll."""
     return events.orderBy(*ORDER).limit(max(capacity, 0))
@@ -108,25 +95,26 @@ def backoff(n: Column, base_ms: int = 200, max_ms: int = 60_000, jitter: Column
     return F.least(F.lit(max_ms), F.floor(backoff_capped(n, base_ms, max_ms) * spread)).cast("long")
 
 
-def outcomes(delivered: DataFrame, now, max_attempts: int = 10, delay_ms: Column | None = None) -> DataFrame:
-    """Commands for handled events: rows with event_id, attempts, listener, result (done, retry_after, failed,
-    failed_after) and, for the two with after, result_delay_ms; error is the failure's text.
+def outcomes(delivered: DataFrame, now, max_attempts: int = 10, delay_ms: Column | None = None, *more: str) -> DataFrame:
+    """Commands for handled events: rows with event_id, attempts, result (done, retry_after, failed, failed_after, unroutable)
+    and, for the two with after, result_delay_ms; error is the failure's text.
 
-    In this order: no listener is dead at once; done is done; a wish for later defers; a failure
-    that uses up the attempts is dead; another failure is a retry, after its own delay or the backoff."""
+    In this order: unroutable is dead at once; done is done; a wish for later defers; a failure that uses up the
+    attempts is dead; another failure is a retry, after its own delay or the backoff. Interceptors run before the listener is looked
+    up, so an event without one may have failed instead. Columns named in `more` come along."""
     at = instant(now)
     backoff_ms = backoff_capped(F.col("attempts") + 1) if delay_ms is None else delay_ms
-    lost = F.col("listener").isNull()
+    lost = F.col("result") == "unroutable"
     spent = F.col("attempts") + 1 >= max_attempts
     action = F.when(lost, "dead").when(F.col("result") == "done", "done").when(F.col("result") == "retry_after", "defer").when(spent, "dead").otherwise("retry")
     delay = F.when(F.col("result").isin("retry_after", "failed_after"), F.col("result_delay_ms")).otherwise(backoff_ms)
     error = F.when(lost, F.concat(F.lit("no listener for "), F.coalesce("aggregate_type", F.lit("__GLOBAL__")), F.lit("/"), F.col("event_type"))).when(action.isin("dead", "retry"), F.col("error"))
-    return delivered.select("event_id", F.lit(0).cast("long").alias("seq"), action.alias("action"), at.alias("at"), F.when(action.isin("retry", "defer"), plus_millis(at, delay)).alias("next_at"), error.alias("error"))
+    return delivered.select("event_id", F.lit(0).cast("long").alias("seq"), action.alias("action"), at.alias("at"), F.when(action.isin("retry", "defer"), plus_millis(at, delay)).alias("next_at"), error.alias("error"), *more)
 
 
-def decode(polled: DataFrame) -> DataFrame:
+def decode(polled: DataFrame, codec: Codec = CODEC) -> DataFrame:
     """Polled rows with their headers as a map and `decode_error`: what the envelope rules or the header
-    parser say. Rows whose headers the built-in parser reads exactly don't go through Python."""
+    parser say. One pass; texts that the built-in parser reads exactly are null to the Python one."""
     rule = (
         F.when(F.col("event_type").isNull(), RULES[0])
         .when(F.col("event_type") == "", RULES[1])
@@ -134,13 +122,9 @@ def decode(polled: DataFrame) -> DataFrame:
         .when(F.col("payload").isNull(), RULES[6])
         .when(F.octet_length("payload") > MAX_PAYLOAD_BYTES, RULES[7])
     )
-    parser = needs_parser(F.col("headers"))
-    simple = F.from_json("headers", "map<string,string>", {"mode": "PERMISSIVE"})
-    none = F.create_map().cast("map<string,string>")
-    easy = polled.where(~parser).withColumns({"header_map": F.coalesce(simple, none), "header_error": F.lit(None).cast("string")})
-    hard = polled.where(parser).withColumn("__d", decode_strict(F.col("headers"))).withColumns({"header_map": F.col("__d.headers"), "header_error": F.col("__d.error")}).drop("__d")
-    both = easy.unionByName(hard)
-    return both.withColumn("decode_error", F.coalesce(F.when(F.col("header_error").isNotNull(), F.concat(F.lit("headers: "), F.col("header_error"))), rule)).drop("header_error")
+    error = F.when(F.col("__d.error").isNotNull(), F.concat(F.lit("headers: "), F.col("__d.error")))
+    decoded = polled.withColumn("__d", codec.decode(F.col("headers")))
+    return decoded.withColumns({"header_map": F.col("__d.headers"), "decode_error": F.coalesce(error, rule)}).drop("__d")
 
 
 @dataclass
@@ -182,17 +166,22 @@ def deliver(event: dict, handler: Callable[[dict], Result | None] | None, interc
 
 
 def handle(routed: DataFrame, handlers: dict[str, Callable[[dict], Result | None]], interceptors: Iterable[Interceptor] = ()) -> DataFrame:
-    """routed with result, result_delay_ms and error; handlers run where the rows are, a batch at a time."""
+    """routed with result, result_delay_ms, error and listener_ms (how long hooks and handler took; null if they failed);
+    handlers run where the rows are, a batch at a time."""
     interceptors = list(interceptors)
-    more = [T.StructField("result", T.StringType()), T.StructField("result_delay_ms", T.LongType()), T.StructField("error", T.StringType())]
+    more = [T.StructField("result", T.StringType()), T.StructField("result_delay_ms", T.LongType()), T.StructField("error", T.StringType()), T.StructField("listener_ms", T.DoubleType())]
     schema = T.StructType([*routed.schema.fields, *more])
 
+    def timed(row: dict) -> tuple:
+        start = time.perf_counter()
+        result, delay, error = deliver(row, handlers.get(row["listener"]), interceptors)
+        return result, delay, error, None if error is not None else 1000 * (time.perf_counter() - start)
+
     def run(batches):
         for pdf in batches:
-            rows = pdf.to_dict("records")
-            made = [deliver(r, handlers.get(r["listener"]), interceptors) for r in rows]
-            for k, name in enumerate(("result", "result_delay_ms", "error")):
-                pdf[name] = [m[k] for m in made]
+            made = [timed(r) for r in pdf.to_dict("records")]
+            for k, field in enumerate(more):
+                pdf[field.name] = [m[k] for m in made]
             pdf["result_delay_ms"] = pdf["result_delay_ms"].astype("Int64")
             yield pdf
 

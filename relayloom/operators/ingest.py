@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from relayloom.functions.headers import encode_headers
+from relayloom.functions.headers import CODEC, Codec
 from relayloom.functions.ids import ulid
-from relayloom.schema import COLUMNS, EVENTS, GLOBAL, MAX_PAYLOAD_BYTES, Status
+from relayloom.operators.ranks import numbered
+from relayloom.schema import COLUMNS, EVENTS, GLOBAL, MAX_PAYLOAD_BYTES, ORDER, Status
 
 #: Error codes in the order in which a builder meets them.
 RULES = ("event_type_missing", "event_type_empty", "two_delivery_times", "delay_not_positive", "available_before_occurred", "header_null", "payload_count", "payload_too_large")
@@ -45,7 +46,7 @@ def deliver_after(at: Column, millis: Column) -> Column:
     return at + F.make_dt_interval(secs=(millis / F.lit(1000)).cast("decimal(18,6)"))
 
 
-def normalize(envelopes: DataFrame, now) -> DataFrame:
+def normalize(envelopes: DataFrame, now, codec: Codec = CODEC) -> DataFrame:
     """Valid envelopes as new rows of the event table; missing ids are made, so results with them vary."""
     good = validate(envelopes, now).where(F.col("error").isNull())
     available = F.when(F.col("deliver_after_ms").isNotNull(), deliver_after(F.col("occurred_at"), F.col("deliver_after_ms"))).otherwise(F.coalesce("available_at", "occurred_at"))
@@ -53,7 +54,7 @@ def normalize(envelopes: DataFrame, now) -> DataFrame:
         "event_id": F.coalesce("event_id", ulid(F.col("occurred_at"))),
         "aggregate_type": F.coalesce("aggregate_type", F.lit(GLOBAL)),
         "payload": F.coalesce("payload_json", F.decode("payload_bytes", "UTF-8")),
-        "headers": encode_headers(F.col("headers")),
+        "headers": codec.encode(F.col("headers")),
         "status": F.lit(int(Status.NEW)),
         "attempts": F.lit(0),
         "available_at": available,
@@ -68,10 +69,8 @@ def normalize(envelopes: DataFrame, now) -> DataFrame:
 
 def chunked(events: DataFrame, size: int = 500, per: str | None = None) -> DataFrame:
     """events with the number of the insert statement that would carry each; numbered within `per`, a
-    batch column, so that batches are numbered side by side (without it, one batch in one task)."""
-    batch = F.lit(0) if per is None else F.col(per)
-    order = Window.partitionBy(batch).orderBy("created_at", "event_id")
-    return events.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    batch column, so that batches are numbered side by side, or over all rows by range."""
+    return numbered(events, ORDER, per).withColumn("chunk", F.floor(F.col("rank") / size).cast("long")).drop("rank")
 
 
 class WriterHook:

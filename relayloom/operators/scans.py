@@ -40,6 +40,12 @@ def claim_pending(events: DataFrame, owner: str, now, lock_expiry, limit: int, s
     return claimable(events, now, lock_expiry, skip_recent).orderBy(*ORDER).limit(max(limit, 0)).select(*POLLED)
 
 
+def claim_rows(events: DataFrame, owner: str, now, lock_expiry, limit: int, skip_recent: timedelta | None = None) -> DataFrame:
+    """The events that a claim by owner takes, as they are after it."""
+    chosen = claimable(events, now, lock_expiry, skip_recent).orderBy(*ORDER).limit(max(limit, 0))
+    return chosen.withColumns({"locked_by": F.lit(owner), "locked_at": instant(now)})
+
+
 def claim_marks(events: DataFrame, owner: str, now, lock_expiry, limit: int, skip_recent: timedelta | None = None) -> DataFrame:
     """The whole table after the claim: chosen events carry owner and now. The chosen ids are at most
     `limit` rows, so the join needs no shuffle of the table."""
@@ -86,5 +92,8 @@ def with_status_name(events: DataFrame) -> DataFrame:
 
 def dedupe(events: DataFrame) -> DataFrame:
     """The first row of each event_id, for consumers of an append-only feed. Copies are reduced before the shuffle."""
-    first = F.min_by(F.struct(*[c for c in events.columns if c != "event_id"]), F.struct(*ORDER[:1]))
+    rest = F.struct(*[c for c in events.columns if c != "event_id"])
+    # Copies made at one time are told apart by their other columns, so that the choice doesn't depend on the order of rows.
+    plain = [f.name for f in events.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = F.min_by(rest, F.struct("created_at", F.xxhash64(*plain)))
     return events.groupBy("event_id").agg(first.alias("r")).select("event_id", "r.*")

@@ -20,6 +20,11 @@ def truncate_error(error: Column, most: int = MAX_ERROR_CHARS) -> Column:
     return F.when(F.length(error) > most, F.concat(F.substring(error, 1, most - 3), F.lit("..."))).otherwise(error)
 
 
+def cut(error: str | None, most: int = MAX_ERROR_CHARS) -> str | None:
+    """truncate_error for a text of the driver."""
+    return error[: most - 3] + "..." if error is not None and len(error) > most else error
+
+
 def _applies(status: Column, action: Column) -> Column:
     return F.when(action == REPLAY, status == int(Status.DEAD)).otherwise(~status.isin(int(Status.DONE), int(Status.DEAD)))
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relayloom.functions.headers import DECODED, decode_strict, encode_headers
+from relayloom.functions.headers import decode_headers, encode_headers
 from relayloom.functions.times import plus_millis
 from relayloom.operators import dispatch, ingest, metrics, purge, routing, scans, transitions
 from relayloom.schema import DERIVED, GLOBAL, POLLED, derived_events as ob
@@ -89,6 +89,22 @@ def select_claimed(spark, sf_dir):
     return scans.select_claimed(scans.claim_marks(ob(spark, sf_dir), "node-9", NOW, EXPIRY, LIMIT), "node-9", NOW)
 
 
+@query(f"select {_COLS} from ob where {_DUE} and created_at <= {_NOW} - interval '1' hour and {_FREE} {_OLDEST} limit {LIMIT}")
+def claim_skip_recent(spark, sf_dir):
+    return scans.claim_pending(ob(spark, sf_dir), "node-9", NOW, EXPIRY, LIMIT, HOUR)
+
+
+@query(f"select * replace ('node-9' as locked_by, {_NOW} as locked_at) from ob where {_DUE} and created_at <= {_NOW} and {_FREE} {_OLDEST} limit {LIMIT}")
+def claim_rows(spark, sf_dir):
+    """What a claim writes: its rows alone."""
+    return scans.claim_rows(ob(spark, sf_dir), "node-9", NOW, EXPIRY, LIMIT)
+
+
+@query("select * from ob where event_id = 'evt-000000007'")
+def event_by_id(spark, sf_dir):
+    return scans.by_id(ob(spark, sf_dir), "evt-000000007")
+
+
 @query(f"select {_COLS} from ob where status = 3 {_OLDEST} limit {DEAD_LIMIT}")
 def query_dead(spark, sf_dir):
     return scans.query_dead(ob(spark, sf_dir), DEAD_LIMIT)
@@ -334,7 +350,9 @@ def write_suppress(spark, sf_dir):
         def before_write(self, events):
             return events.where(F.col("tenant_id").isNotNull()).withColumn("event_type", F.upper("event_type"))
 
-    return Hook().before_write(ob(spark, sf_dir)).select("event_id", "event_type")
+    written = []
+    ids = ingest.write(ob(spark, sf_dir), written.append, [Hook()])
+    return written[0].join(ids, "event_id", "left_semi").select("event_id", "event_type")
 
 
 @query("select event_id, created_at + interval '90' second \"at\" from ob")
@@ -352,7 +370,7 @@ def headers_encode(spark, sf_dir):
 
 @query("select event_id, case when headers like '{%' then event_type end as source, headers = 'not-json' and headers is not null as broken from ob")
 def headers_decode(spark, sf_dir):
-    decoded = ob(spark, sf_dir).select("event_id", decode_strict(F.col("headers")).cast(DECODED).alias("d"))
+    decoded = ob(spark, sf_dir).select("event_id", decode_headers(F.col("headers")).alias("d"))
     return decoded.select("event_id", F.element_at("d.headers", F.lit("source")).alias("source"), F.col("d.error").isNotNull().alias("broken"))
 
 
@@ -432,7 +450,8 @@ _RESULTS = "case cast(substring(event_id, 5) as bigint) % 4 when 0 then 'done' w
 
 def _delivered(spark, sf_dir) -> DataFrame:
     routed = routing.route(scans.due(ob(spark, sf_dir), NOW), _routes(spark))
-    return routed.withColumns({"result": F.expr(_RESULTS), "result_delay_ms": F.lit(7000).cast("long"), "error": F.lit("boom")})
+    result = F.when(F.col("listener").isNull(), "unroutable").otherwise(F.expr(_RESULTS))
+    return routed.withColumns({"result": result, "result_delay_ms": F.lit(7000).cast("long"), "error": F.lit("boom")})
 
 
 _BACKOFF = "case when attempts + 1 <= 0 then 0 when attempts + 1 >= 31 then 60000 else least(60000, 200 * cast(pow(2, attempts) as bigint)) end"
@@ -449,6 +468,25 @@ def dispatch_outcomes(spark, sf_dir):
     return dispatch.outcomes(_delivered(spark, sf_dir), NOW)
 
 
+@query(
+    f""", {_ROUTES}, handled as (select ob.*, listener, case when cast(aggregate_id as int) % 5 = 0 then 'failed' when listener is null then 'unroutable' else 'done' end result
+  from ob left join routes r on r.aggregate_type = ob.aggregate_type and r.event_type = ob.event_type where {_DUE}),
+acts as (select *, case when result = 'unroutable' then 'dead' when result = 'done' then 'done' when attempts + 1 >= 10 then 'dead' else 'retry' end "action" from handled)
+select event_id, cast(0 as bigint) seq, "action", {_NOW} "at", case when "action" = 'retry' then {_NOW} + to_milliseconds({_BACKOFF}) end next_at,
+  case when result = 'unroutable' then concat('no listener for ', aggregate_type, '/', event_type) when "action" in ('dead', 'retry') then 'ValueError: not this user' end error from acts"""
+)
+def interceptor_outcomes(spark, sf_dir):
+    """A hook refuses some users before the listener is looked up: their events are tried again, routable or not."""
+
+    def before(event):
+        if int(event["aggregate_id"]) % 5 == 0:
+            raise ValueError("not this user")
+
+    routed = routing.route(scans.due(ob(spark, sf_dir), NOW), _routes(spark))
+    handlers = dict.fromkeys((listener for _, _, listener in ROUTES), lambda event: None)
+    return dispatch.outcomes(dispatch.handle(routed, handlers, [dispatch.Interceptor(before)]), NOW)
+
+
 @query(
     f""", {_FATE}, {_COMMANDS}, polled as (select event_id from ob where {_DUE} and created_at <= {_NOW} {_OLDEST} limit {LIMIT})
 select (select count(*) from fates where fate = 'accepted') hot_enqueued, (select count(*) from fates where fate = 'dropped') hot_dropped, (select count(*) from fates where fate = 'delayed') hot_delayed,

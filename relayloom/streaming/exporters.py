@@ -24,6 +24,8 @@ class Exporter:
 
     def latency_ms(self, count: int, total: int, largest: int | None) -> None: ...
 
+    def listener_ms(self, count: int, total: float, largest: float | None) -> None: ...
+
     def close(self) -> None: ...
 
 
@@ -33,7 +35,7 @@ class Recorder(Exporter):
     def __init__(self):
         self.counters: Counter[str] = Counter(dict.fromkeys(COUNTERS, 0))
         self.depths: dict[str, int] = {}
-        self.lag, self.latencies = 0, []
+        self.lag, self.latencies, self.durations = 0, [], []
 
     def add(self, counter: str, n: int) -> None:
         self.counters[counter] += n
@@ -47,6 +49,9 @@ class Recorder(Exporter):
     def latency_ms(self, count: int, total: int, largest: int | None) -> None:
         self.latencies.append((count, total, largest))
 
+    def listener_ms(self, count: int, total: float, largest: float | None) -> None:
+        self.durations.append((count, total, largest))
+
 
 def observed(commands: DataFrame, name: str = "commands") -> DataFrame:
     """commands with their counts as an observation, which costs no extra pass; see ProgressListener."""

@@ -199,10 +199,10 @@ def test_backoff(spark):
 
 
 def test_outcomes_in_order(spark):
-    rows = [("lost", None, 0, "done", None), ("ok", "l", 0, "done", None), ("later", "l", 9, "retry_after", 5000), ("last", "l", 9, "failed", None), ("again", "l", 0, "failed", None), ("own", "l", 1, "failed_after", 0)]
+    rows = [("lost", None, 0, "unroutable", None), ("hooked", None, 0, "failed", None), ("ok", "l", 0, "done", None), ("later", "l", 9, "retry_after", 5000), ("last", "l", 9, "failed", None), ("again", "l", 0, "failed", None), ("own", "l", 1, "failed_after", 0)]
     df = spark.createDataFrame([(i, None, "t", l, a, r, d, "boom") for i, l, a, r, d in rows], "event_id string, aggregate_type string, event_type string, listener string, attempts int, result string, result_delay_ms long, error string")
     got = {r.event_id: (r.action, r.next_at and (r.next_at - T0).total_seconds(), r.error) for r in dispatch.outcomes(df, T0).collect()}
-    assert got == {"lost": ("dead", None, "no listener for __GLOBAL__/t"), "ok": ("done", None, None), "later": ("defer", 5.0, None), "last": ("dead", None, "boom"), "again": ("retry", 0.2, "boom"), "own": ("retry", 0.0, "boom")}
+    assert got == {"lost": ("dead", None, "no listener for __GLOBAL__/t"), "hooked": ("retry", 0.2, "boom"), "ok": ("done", None, None), "later": ("defer", 5.0, None), "last": ("dead", None, "boom"), "again": ("retry", 0.2, "boom"), "own": ("retry", 0.0, "boom")}
 
 
 def test_interceptors():
