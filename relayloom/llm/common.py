@@ -107,8 +107,23 @@ def live(key: tuple, make: Callable[[], object]):
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share; the cluster names it in spark.checkpoint.dir."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share; the cluster names it in spark.checkpoint.dir. It is deleted when the driver ends."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _ends_with_driver(spark, folder)
+    return folder
+
+
+def _ends_with_driver(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a work folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -121,4 +136,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
         where = "/tmp/checkpoints/relayloom"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
+        _ends_with_driver(spark, sc._jsc.sc().getCheckpointDir().get())  # Spark's own folder in there, of this driver alone
     return where.rstrip("/")

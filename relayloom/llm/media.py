@@ -1,14 +1,16 @@
 """Media columns: Netpbm and BMP bytes as numpy arrays, small tiles, and hashes of their looks.
 
-Binary and plain PBM, PGM and PPM files (P1 to P6; samples of 8 or 16 bits) and uncompressed BMP files (1, 4, 8, 24
-or 32 bits a pixel) are decoded to arrays. An image is resized by area: integral images give
+Binary and plain PBM, PGM and PPM files (P1 to P6; samples of 8 or 16 bits) and uncompressed BMP files (1, 4, 8, 16, 24
+or 32 bits a pixel, bit fields of any masks) are decoded to arrays. An image is resized by area: integral images give
 the sum over any rectangle from four values, and a target pixel is the mean over the
 rectangle it covers, borders in part. The sums run over bands of rows, so memory stays
-bounded for tall images. Tiles are NPY files; difference hashes compare neighbours in a row of
-a 9 x 8 tile.
+bounded for tall images. Tiles are NPY files, their samples scaled so that the file's largest sample is 255; difference
+hashes compare neighbours in a row of a 9 x 8 tile.
 
 `store_texts` keeps any text as such an image, without loss: its UTF-8 bytes, zeros up to a
-positive multiple of 64, as a binary PGM 64 samples wide. One scan; no shuffle.
+positive multiple of 64, as a binary PGM 64 samples wide. `media_digests` writes these images to files (a Parquet
+folder, a row an image, as all writes that a cluster may lose a task of), reads them back, writes their tiles and
+hashes, and reads these back. Two scans; no shuffle.
 
 Defined cases: a null text is empty (64 zeros); null, empty or broken media give null
 arrays, tiles and hashes, never an error; repeated rows each get a row; equal bytes give
@@ -22,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -39,8 +42,25 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (samples.shape[1], samples.shape[0]) + samples.tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """Height x width (x 3) samples; bits are 0 for white and 1 for black, as in the file."""
+@dataclass(frozen=True)
+class Image:
+    """Height x width (x 3) samples as in the file, and the sample that is white (bright, for colours): 0 in bitmaps."""
+
+    samples: np.ndarray
+    most: int = 255
+    bitmap: bool = False
+
+    def grey(self) -> np.ndarray:
+        """One plane of brightness, 0 to `most`: of three, their integer luma."""
+        if self.bitmap:
+            return 1 - self.samples
+        if self.samples.ndim == 2:
+            return self.samples
+        return (self.samples.astype(np.uint32) @ np.array([299, 587, 114], np.uint32)) // 1000
+
+
+def decode_netpbm(data: bytes) -> Image:
+    """Bits are 0 for white and 1 for black, as in the file."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -59,34 +79,51 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     sample = np.dtype(">u2") if most > 255 else np.dtype(np.uint8)
     if kind == b"P1":
         body = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])
-        return (np.frombuffer(body, np.uint8, count) - 48).reshape(shape)
+        return Image((np.frombuffer(body, np.uint8, count) - 48).reshape(shape), 1, True)
     if kind in (b"P2", b"P3"):
         body = re.sub(rb"#[^\n\r]*", b"", data[at:]).split(None, count)[:count]
-        return np.array(body, np.int64).astype(sample.newbyteorder("=")).reshape(shape)
+        return Image(np.array(body, np.int64).astype(sample.newbyteorder("=")).reshape(shape), most)
     if kind == b"P4":
         row = -(-width // 8)
         packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
-        return np.unpackbits(packed, axis=1)[:, :width]
-    return np.frombuffer(data, sample, count, at + 1).reshape(shape)
+        return Image(np.unpackbits(packed, axis=1)[:, :width], 1, True)
+    return Image(np.frombuffer(data, sample, count, at + 1).reshape(shape), most)
 
 
-def decode_bmp(data: bytes) -> np.ndarray:
-    """Height x width x 3 samples, red first, top row first."""
+def _fields(raw: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """Samples of 8 bits from the bits of each mask, scaled to 255."""
+    planes = []
+    for mask in masks:
+        if not mask:
+            raise ValueError("empty bit field")
+        low = (mask & -mask).bit_length() - 1
+        most = mask >> low
+        planes.append(((raw & np.uint32(mask)) >> np.uint32(low)).astype(np.uint64) * 255 // most)
+    return np.stack(planes, 2).astype(np.uint8)
+
+
+def decode_bmp(data: bytes) -> Image:
+    """Red first, top row first."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not BMP")
     offset, head, width, height, _, depth, packing = struct.unpack_from("<10xIIiiHHI", data)
     down, height = height < 0, abs(height)
-    if packing not in (0, 3) or (packing == 3 and depth != 32) or width <= 0 or not height or depth not in (1, 4, 8, 24, 32):
+    fields = packing in (3, 6)
+    if packing not in (0, 3, 6) or (fields and depth not in (16, 32)) or width <= 0 or not height or depth not in (1, 4, 8, 16, 24, 32):
         raise ValueError("not an uncompressed BMP")
     row = -(-width * depth // 32) * 4
     raw = np.frombuffer(data, np.uint8, row * height, offset).reshape(height, row)
-    if depth >= 24:
+    if fields or depth == 16:
+        # The masks follow a header of 40 bytes, or are part of a longer one: at the same place.
+        masks = struct.unpack_from("<3I", data, 54) if fields else (0x7C00, 0x3E0, 0x1F)
+        out = _fields(raw.view("<u2" if depth == 16 else "<u4")[:, :width].astype(np.uint32), masks)
+    elif depth >= 24:
         out = raw[:, : width * depth // 8].reshape(height, width, depth // 8)[:, :, 2::-1]
     else:
         colours = np.frombuffer(data, np.uint8, min((offset - 14 - head) // 4, 1 << depth) * 4, 14 + head).reshape(-1, 4)[:, 2::-1]
         index = raw if depth == 8 else np.unpackbits(raw, axis=1) if depth == 1 else np.stack([raw >> 4, raw & 15], 2).reshape(height, -1)
         out = colours[index[:, :width]]
-    return out if down else out[::-1]
+    return Image(out if down else out[::-1])
 
 
 def encode_bmp(samples: np.ndarray) -> bytes:
@@ -98,21 +135,14 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + body.size, 0, 54, 40, width, height, 1, 24, 0, body.size, 2835, 2835, 0, 0) + body.tobytes()
 
 
-def decode(data: bytes | None) -> np.ndarray | None:
-    """The array of a Netpbm or BMP file; None for anything else or what is cut short."""
+def decode(data: bytes | None) -> Image | None:
+    """A Netpbm or BMP file; None for anything else or what is cut short."""
     try:
         return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
     except (TypeError, ValueError, IndexError, struct.error):
         return None
 
 
-def grey(image: np.ndarray) -> np.ndarray:
-    """One plane: the integer luma of three."""
-    if image.ndim == 2:
-        return image
-    return (image.astype(np.uint32) @ np.array([299, 587, 114], np.uint32)) // 1000
-
-
 def _edges(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(parts + 1) * size / parts
     whole = np.minimum(at.astype(np.int64), size)
@@ -153,25 +183,30 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tile(plane: np.ndarray, side: int = 16) -> bytes:
-    """A side x side NPY tile of bytes (16-bit samples are scaled)."""
-    small = area_resize(plane, side, side) / (257 if plane.dtype.itemsize > 1 and plane.max(initial=0) > 255 else 1)
+def tile(plane: np.ndarray, side: int = 16, most: int = 255) -> bytes:
+    """A side x side NPY tile of bytes, where `most` becomes 255."""
+    small = area_resize(plane, side, side) * (255 / most)
     return npy(np.clip(np.rint(np.round(small, 6)), 0, 255).astype(np.uint8))
 
 
+_TILES = "height int, width int, tile binary, dhash string"
+
+
+def _tile(image: Image | None, side: int) -> tuple:
+    if image is None:
+        return (None,) * 4
+    plane = image.grey()
+    return *plane.shape, tile(plane, side, image.most), f"{difference_hash(plane):016x}"
+
+
 def media_tiles(media: DataFrame, side: int = 16) -> DataFrame:
     """media_id, height, width, tile (NPY) and dhash (16 hex digits) of rows (media_id, data)."""
-    schema = "media_id long, height int, width int, tile binary, dhash string"
-    out = media.sparkSession.createDataFrame([], schema).schema
+    out = media.sparkSession.createDataFrame([], f"media_id long, {_TILES}").schema
     rows = media.select(F.col("media_id").cast("long"), F.col("data").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            made = []
-            for data in part.column("data").to_pylist():
-                image = decode(data)
-                plane = None if image is None else grey(image)
-                made.append((None,) * 4 if plane is None else (*plane.shape, tile(plane, side), f"{difference_hash(plane):016x}"))
+            made = [_tile(decode(data), side) for data in part.column("data").to_pylist()]
             types = [pa.int32(), pa.int32(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column("media_id"), *(pa.array([m[k] for m in made], t) for k, t in enumerate(types))], names=out.names)
 
@@ -185,18 +220,6 @@ def pack(text: str) -> tuple[bytes, int]:
     return encode_pgm(np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, WIDTH)), len(raw)
 
 
-def digest_texts(texts: list[str]) -> dict[str, list]:
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    rows = []
-    for text in texts:
-        stored, size = pack(text)
-        image = decode(stored)
-        payload = image.tobytes()
-        feature = f"{difference_hash(image):016x}-{zlib.crc32(tile(image)):08x}"
-        rows.append((size, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), sha256(stored).hexdigest(), feature))
-    return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
-
-
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and data: each text as a binary PGM."""
 
@@ -207,8 +230,33 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return map_texts(docs, made, "n_bytes long, data binary")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def describe(stored: DataFrame, side: int = 16) -> DataFrame:
+    """Digests of stored images (doc_id, n_bytes, data) and of the payloads that they decode to, with their tiles and hashes."""
+    out = stored.sparkSession.createDataFrame([], f"{_DIGESTS}, {_TILES}").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        for part in chunks(batches):
+            rows = []
+            for doc_id, size, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "data"))):
+                image = decode(data)
+                payload = image.samples.tobytes()
+                rows.append((doc_id, size, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), sha256(data).hexdigest(), *_tile(image, side)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return stored.select("doc_id", "n_bytes", "data").mapInArrow(run, out)
+
+
+def media_digests(docs: DataFrame, folder: str) -> DataFrame:
     """Store, read back and describe: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature (difference hash and CRC-32 of the NPY tile)."""
-    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_texts(docs, digest_texts, schema)
+    media_bytes, media_sha256, feature (difference hash and CRC-32 of the NPY tile); images and tiles are in folder."""
+    spark = docs.sparkSession
+    store_texts(docs).write.option("compression", "zstd").parquet(f"{folder}/images")
+    describe(spark.read.parquet(f"{folder}/images")).write.option("compression", "zstd").parquet(f"{folder}/tiles")
+    feature = F.concat("dhash", F.lit("-"), F.lpad(F.lower(F.hex(F.crc32("tile"))), 8, "0"))
+    return spark.read.parquet(f"{folder}/tiles").select(*[c.split()[0] for c in _DIGESTS.split(", ")], feature.alias("feature"))

@@ -30,7 +30,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = work_folder(spark, "token-files")
+    folder = work_folder(spark, "token-files") + "/ids"
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return token_file_digests(spark, folder)
 
@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(table(spark, sf_dir, "documents"), work_folder(spark, "media"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
