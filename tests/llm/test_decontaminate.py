@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from relayloom.llm import decontaminate
@@ -20,6 +21,21 @@ def brute_ends(item, text):
     return out
 
 
+def brute_whole_words(item, text):
+    """Least distance of the item to a run of whole words; text is of words joined by single blanks."""
+    row, best = list(range(len(item) + 1)), 10**9
+    for at, c in enumerate(text):
+        new = [row[0] + 1]
+        for k, x in enumerate(item):
+            new.append(min(row[k] + (x != c), row[k + 1] + 1, new[k] + 1))
+        row = new
+        if at + 1 == len(text) or text[at + 1] == " ":
+            best = min(best, row[-1])
+        if c == " ":  # a run may begin after it
+            row = [min(r, k) for k, r in enumerate(row)]
+    return best
+
+
 def test_myers_equals_the_table():
     rnd = random.Random(1)
     for _ in range(300):
@@ -51,31 +67,68 @@ def test_every_occurrence_within_the_budget_is_found():
     for _ in range(250):
         i, item = rnd.choice(items)
         text = sentence(30) + " " + mutate(rnd, item, rnd.randint(0, 4)) + " " + sentence(30)
-        want = {j: min(brute_ends(normal(t), normal(text))) for j, t in items}
+        want = {j: brute_whole_words(normal(t), normal(text)) for j, t in items if len(t.split()) >= decontaminate.LEAST_WORDS}
         want = {j: d for j, d in want.items() if d <= int(len(normal(items[j][1])) * decontaminate.RATE)}
         got = {}
         for j, d, a, b in found.matches(text):
             got[j] = min(d, got.get(j, 99))
-            # Offsets are of whole words: a blank at either end of a match is not in them.
-            assert min(brute_ends(normal(items[j][1]), normal(text[a:b]))) <= d + 2
+            assert brute_ends(normal(items[j][1]), normal(text[a:b]))[-1] <= d
         assert got == want
 
 
+def all_places(item, text):
+    """Of each end in text: the least distance of the item to a run that begins with a word; a numpy column for each character of the item."""
+    n = len(text)
+    at = np.arange(n + 1)
+    begins = np.r_[True, text == ord(" ")]
+    row = at - np.maximum.accumulate(np.where(begins, at, 0))
+    for c in item:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        new[1:] = np.minimum(row[:-1] + (text != ord(c)), row[1:] + 1)
+        row = np.minimum.accumulate(new - at) + at
+    return row[1:]
+
+
 def test_query_equals_brute_force(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     got = {(r.doc_id, r.item_id) for r in contamination(docs, items).collect()}
     plain = {r.doc_id: normal(r.text) for r in docs.collect()}
-    exact = {(d, r.item_id) for r in items.collect() for d, t in plain.items() if normal(r.text) in t}
-    assert exact <= got and len(got - exact) <= 2
+    exact = {(d, r.item_id) for r in items.collect() for d, t in plain.items() if f" {normal(r.text)} " in f" {t} "}
+    assert exact <= got
+    # Every eighth item against every place of every text; texts are kept apart by more than any budget.
+    text = np.array([ord(c) for t in plain.values() for c in t + "\0" * 60 + " "], np.int64)
+    owner = np.repeat(list(plain), [len(t) + 61 for t in plain.values()])
+    ends = np.r_[(text[1:] == ord(" ")) | (text[1:] == 0), True]
+    some = [r for r in items.collect() if r.item_id % 8 == 0]
+    want = set()
+    for r in some:
+        item = normal(r.text)
+        near = (all_places(item, text) <= int(len(item) * decontaminate.RATE)) & ends & (text != 0)
+        want |= {(int(d), r.item_id) for d in owner[near]}
+    assert want and {x for x in got if x[1] % 8 == 0} == want
     kept = {r.doc_id for r in drop_contaminated(docs, items).collect()}
     assert kept == set(plain) - {d for d, _ in got}
 
 
+def test_only_whole_words_and_enough_of_them():
+    found = lambda item, text: Items([(1, item)]).matches(text)
+    assert found("cat", "concatenate a cat") == [] and found("the art of", "the art of war") == []
+    assert found("the art of war", "this is the art of wares") == []
+    assert [(d, a, b) for _, d, a, b in found("the art of war", "is the art of wars, is")] == [(1, 3, 18)]
+    assert found("one two three four five", "xone two three four fives") == []
+    assert len(found("one two three four five", "one two three four five one two three four five")) == 2
+
+
 def test_blocks_of_items_give_the_same(spark, sf, monkeypatch):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     want = sorted(map(tuple, contamination(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)
+    kept = sorted(r.doc_id for r in drop_contaminated(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 9000)
     assert sorted(map(tuple, contamination(docs, items).collect())) == want
+    for most in (decontaminate.BROADCAST, -1):
+        monkeypatch.setattr(decontaminate, "BROADCAST", most)
+        assert sorted(r.doc_id for r in drop_contaminated(docs, items).collect()) == kept
 
 
 def test_offsets_case_and_punctuation():
