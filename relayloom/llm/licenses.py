@@ -12,8 +12,8 @@ then the longer; a bare "All rights reserved.", which stands beside many a licen
 A file whose text is mostly such a passage, or is named like a licence file, licenses its
 directory. Every directory is expanded to its ancestors (a row for each level of the path), joined with
 the licensed directories, and takes the deepest; files then join their directory.
-Files are never paired with each other. Joins on a directory with very many files are
-skewed on the file side only, which Spark splits.
+Files are never paired with each other. What was found, without texts, is written once; directories with a licence are broadcast while
+there are few, else the files of a directory are dealt over `SALT` keys, so that one with very many files is no single task.
 
 Defined cases: null texts have no licence; null paths are in no directory and inherit
 nothing; of several licences in one directory the highest score counts, then the smallest
@@ -31,13 +31,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relayloom.llm.common import chunks
+from relayloom.llm.common import checkpoint_dir, chunks, small_batches
 from relayloom.llm.license_texts import COUNTS, TEXTS
 
 LEAST = 0.55
 #: Least cosine of a whole text to a whole licence.
 LEAST_WHOLE = 0.85
 BARE = "All rights reserved."
+#: Licensed directories that are broadcast at most, and keys for the files of a directory beyond that.
+BROADCAST, SALT = 1_000_000, 64
 #: A file is a licence file if this share of its words is in the passage.
 MOSTLY = 0.5
 
@@ -72,6 +74,10 @@ def words(text: str) -> list[str]:
 
 
 VOCABULARY = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words(t))
+#: Words of a passage at most, unless one sentence has more: a quarter more than the longest template.
+LONGEST = 5 * max(len(words(t)) for texts in TEMPLATES.values() for t in texts) // 4
+#: Words in which a statement of a licence may go on.
+RUN_WORDS = VOCABULARY.union(*(words(t) for t in TEXTS.values()))
 
 
 def document_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
@@ -142,22 +148,42 @@ class Scanner:
         score, name = self.whole(all_words)
         if score >= LEAST_WHOLE:
             return name, score, 0, len(text), 1.0
-        best, least, run = None, (), []
-        for m in [*_SENTENCE.finditer(text), None]:
-            own = words(m[0]) if m else []
-            lower = m[0].lower() if m else ""
-            if m and (any(t in lower for t in TRIGGERS) or (run and own and sum(w in VOCABULARY for w in own) >= 0.8 * len(own))):
-                run = [*run[-11:], (m.start(), m.end(), own)]  # no template has more sentences
-                passages = [run[-1]] + [(run[k][0], m.end(), [w for x in run[k:] for w in x[2]]) for k in range(len(run) - 1)]
-                for a, b, tokens in passages:
-                    score, k = self._closest(tokens)
+        best, least, known = None, (), {}
+        for run in self._runs(text):
+            # A run as a whole may be a licence: one in a comment above a program, say.
+            if sum(len(x[2]) for x in run) > LONGEST:
+                score, name = self.whole([w for x in run for w in x[2]])
+                if score >= LEAST_WHOLE and (True, 1.0, 1 << 30) > least:  # before any passage of it
+                    best, least = (name, score, run[0][0], run[-1][1], sum(len(x[2]) for x in run)), (True, 1.0, 1 << 30)
+            for last in range(len(run)):
+                tokens: list[str] = []
+                for first in range(last, -1, -1):
+                    tokens = run[first][2] + tokens
+                    if len(tokens) > LONGEST and first < last:
+                        break
+                    key = tuple(tokens)
+                    if key not in known:  # lines repeat
+                        known[key] = self._closest(tokens)
+                    score, k = known[key]
                     rank = (k not in self.bare, score, len(tokens))
                     if score >= LEAST and (best is None or rank > least):
-                        best, least = (self.names[k], score, a, b, len(tokens)), rank
-            else:
-                run = []
+                        best, least = (self.names[k], score, run[first][0], run[last][1], len(tokens)), rank
         return none if best is None else (*best[:4], best[4] / max(len(all_words), 1))
 
+    @staticmethod
+    def _runs(text: str) -> Iterator[list[tuple[int, int, list[str]]]]:
+        """Runs of sentences that speak of licensing, or go on in words of the templates: start, end and words of each."""
+        run: list[tuple[int, int, list[str]]] = []
+        for m in _SENTENCE.finditer(text):
+            own, lower = words(m[0]), m[0].lower()
+            if any(t in lower for t in TRIGGERS) or (run and own and sum(w in RUN_WORDS for w in own) >= 0.8 * len(own)):
+                run.append((m.start(), m.end(), own))
+            elif run and own:
+                yield run
+                run = []
+        if run:
+            yield run
+
 
 def scan_files(files: DataFrame) -> DataFrame:
     """doc_id, path, license, score, start, end and share (of the words) of rows (doc_id, path, text)."""
@@ -176,19 +202,29 @@ def scan_files(files: DataFrame) -> DataFrame:
 
 def inherit(scanned: DataFrame) -> DataFrame:
     """scanned with inherited_license and inherited_from: of the nearest directory, at or above the file's, with a licence file."""
-    files = scanned.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    checkpoint_dir(scanned.sparkSession)
+    kept = [c for c in scanned.columns if c not in ("inherited_license", "inherited_from")]
+    files = scanned.select(*kept).withColumn("__dir", F.regexp_replace("path", "/?[^/]*$", "")).checkpoint()
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(_FILE)
     proof = files.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | (F.col("share") >= MOSTLY)))
-    licensed = proof.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("best")).select(F.col("dir").alias("from"), F.col("best.license").alias("inherited_license"))
-    parts = F.split("dir", "/")
-    above = F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("from")))).otherwise(
+    best = F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("best")
+    licensed = proof.groupBy("__dir").agg(best).select(F.col("__dir").alias("__from"), F.col("best.license").alias("inherited_license"))
+    parts = F.split("__dir", "/")
+    above = F.when(F.col("__dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("from")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("from")))
     )
-    levels = files.where(F.col("dir").isNotNull()).select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.from")
-    nearest = levels.join(licensed, "from").groupBy("dir").agg(F.max(F.struct("depth", F.col("from").alias("inherited_from"), "inherited_license")).alias("n"))
-    return files.join(nearest, "dir", "left").select(*scanned.columns, F.col("n.inherited_license").alias("inherited_license"), F.col("n.inherited_from").alias("inherited_from"))
+    levels = files.where(F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.explode(above).alias("a")).select("__dir", F.col("a.depth").alias("__depth"), F.col("a.from").alias("__from"))
+    deepest = F.max(F.struct(F.col("__depth").alias("depth"), F.col("__from").alias("from"), F.col("inherited_license").alias("license"))).alias("n")
+    nearest = levels.join(licensed, "__from").groupBy("__dir").agg(deepest).checkpoint()
+    found = [F.col("n.license").alias("inherited_license"), F.col("n.from").alias("inherited_from")]
+    if nearest.count() <= BROADCAST:
+        return files.join(F.broadcast(nearest), "__dir", "left").select(*kept, *found)
+    dealt = files.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALT)))
+    copies = nearest.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return dealt.join(copies, ["__dir", "__salt"], "left").select(*kept, *found)
 
 
 def license_scan(files: DataFrame) -> DataFrame:
     """Each file's own licence, and that of its nearest licensed directory."""
+    small_batches(files.sparkSession)
     return inherit(scan_files(files))

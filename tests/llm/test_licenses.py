@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -29,6 +30,52 @@ def test_query_finds_what_is_stated_and_nothing_else(spark):
             assert re.search(next(p for p, n in STATED.items() if n in stated), text[got[i].start : got[i].end])
 
 
+def test_query_inherits_as_climbing_from_file_to_root_does(spark):
+    rows = op8_licenses(spark, "/root/testdata/sf0.01").collect()
+    above = lambda path: path.rpartition("/")[0]
+    licensed = {}
+    for r in rows:
+        name = r.path.rpartition("/")[2].lower()
+        if r.license and (r.share >= 0.5 or name.split(".")[0] in ("license", "licence", "copying", "copyright", "notice", "unlicense")):
+            best = licensed.setdefault(above(r.path), (-r.score, r.path, r.license))
+            licensed[above(r.path)] = min(best, (-r.score, r.path, r.license))
+    assert licensed
+    for r in rows:
+        at = above(r.path)
+        while at and at not in licensed:
+            at = above(at)
+        want = (licensed[at][2], at) if at in licensed else (None, None)
+        assert (r.inherited_license, r.inherited_from) == want
+
+
+def test_directories_with_very_many_files(spark, monkeypatch):
+    """Dealt over keys or broadcast: the same."""
+    from relayloom.llm import licenses
+
+    rows = [(k, f"a/b/{k}", None, 0.0, 0.0) for k in range(500)] + [(500, "a/LICENSE", "MIT", 1.0, 1.0), (501, None, None, 0.0, 0.0), (501, None, None, 0.0, 0.0)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, license string, score double, share double").selectExpr("*", "1 as dir", "2 as depth", "'x' as inherited_from")
+    both = []
+    for most in (licenses.BROADCAST, -1):
+        monkeypatch.setattr(licenses, "BROADCAST", most)
+        both.append(sorted(map(str, inherit(files).collect())))
+    assert both[0] == both[1] and len(both[0]) == 503 and sum("inherited_license='MIT', inherited_from='a'" in x for x in both[0]) == 501
+
+
+def test_licences_above_programs():
+    from relayloom.llm.license_texts import TEXTS
+
+    scanner = Scanner(1000, {})
+    for name, text in TEXTS.items():
+        wrapped = textwrap.fill(text, 70)
+        commented = "\n".join("# " + line for line in wrapped.splitlines())
+        program = "import os\n\n\ndef run(path):\n    for entry in os.scandir(path):\n        print(entry.name, entry.stat().st_size)\n" * 20
+        got = scanner.scan(commented + "\n\n" + program)
+        assert got[0] == name, (name, got)
+    for n in range(30):  # no window of so many sentences
+        found = scanner.scan("Released under the MIT License.\n" + "This permission notice is granted.\n" * n + "All rights reserved.\n")
+        assert found[0] == "MIT"
+
+
 def test_cosine_equals_dense_vectors(spark, sf):
     docs = table(spark, sf, "documents")
     n, count = document_counts(docs)
