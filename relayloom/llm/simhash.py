@@ -14,8 +14,10 @@ Two ways to buckets, neither of which drops a case:
 * wider fingerprints (`similar`): classes meet that share one of the 8 smallest shingle
   hashes. At similarity s a pair shares none of them with probability (1 - s)^8, 3 in a
   million at 0.8.
-A bucket of over `BUCKET` classes is cut into chunks by a hash, and each pair of chunks is a group of
-its own, so no task holds more than two chunks, and no pair is lost.
+A bucket of over `BUCKET` classes is divided by further keys: by pieces of the bits that its classes need not
+agree on, which loses no pair within the radius; or by a second one of the 8 hashes (a pair at 0.8 that shares just this one, and
+no other of any bucket, comes up 8 times in 100,000). What is over `BUCKET` still is cut into chunks by a hash, and each pair of chunks is a
+group of its own, so no task holds more than two chunks, and no pair is lost.
 
 Wide fingerprints only lead to pairs. What lies within their radius is joined to components, of which
 pairs of similarity 0.8 never leave; the shingle sets of those with company are made again from the texts,
@@ -205,12 +207,25 @@ def link_runs(find: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarra
     return run
 
 
-def _links(candidates: DataFrame, find: Callable, what: str, weight: Column, most: int) -> DataFrame:
-    """Links (a, b) that `find` makes by the column `what` among the candidates (t, key, rep, what) of one (t, key) each."""
-    size = candidates.groupBy("t", "key").agg(F.sum(weight).alias("size"))
-    hot = size.where(F.col("size") > most).select("t", "key", F.ceil(F.col("size") / most).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep", what), F.col("chunks")).cast("int")
-    met = candidates.join(hot, ["t", "key"], "left").withColumn("own", own)
+def _links(candidates: DataFrame, find: Callable, what: str, weight: Column, most: int, finer: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that `find` makes by the column `what` among the candidates (t, key, rep, what) of one (t, key) each.
+
+    Keys of a single candidate go first, before columns of `more` (by rep) come to the others. Those of an overfull bucket
+    get the keys that `finer` gives them, and what is overfull still is cut into chunks."""
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("t", "key").agg(F.sum(weight).alias("size"), F.count("*").alias("members")).where("members > 1").drop("members")
+
+    size = sized(candidates).checkpoint()
+    met = candidates.join(size, ["t", "key"])
+    if more is not None:
+        met = met.join(more, "rep")
+    columns = ["t", "key", "rep", what, "size"]
+    if finer is not None and not size.where(F.col("size") > most).isEmpty():
+        again = finer(met.where(F.col("size") > most))
+        met = met.where(F.col("size") <= most).select(*columns).unionByName(again.join(sized(again), ["t", "key"]).select(*columns))
+    met = met.withColumn("chunks", F.when(F.col("size") > most, F.ceil(F.col("size") / most).cast("int")))
+    met = met.withColumn("own", F.pmod(F.xxhash64("rep", what), F.col("chunks")).cast("int"))
     part = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, F.col("own")) * F.col("chunks") + F.greatest(o, F.col("own")))
     part = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.filter(part, lambda p: p != F.col("own") * F.col("chunks") + F.col("own")))
     dealt = met.select("t", "key", F.explode(part).alias("part"), "rep", what)
@@ -218,6 +233,36 @@ def _links(candidates: DataFrame, find: Callable, what: str, weight: Column, mos
     return dealt.mapInArrow(link_runs(find), "a long, b long")
 
 
+def _value(bits: str) -> Column:
+    """A fingerprint of 64 bits as a number."""
+    low_first = F.concat(*[F.substring(F.hex(bits), 15 - 2 * k, 2) for k in range(8)])
+    return F.conv(low_first, 16, -10).cast("long")
+
+
+def _finer_pieces(masks: list[int], radius: int):
+    """More keys for what agrees on a mask's bits: its other bits are cut into radius + 1 pieces, on one of which two within the radius agree."""
+    cuts = []
+    for mask in masks:
+        free = [b for b in range(64) if not mask >> b & 1]
+        spans = [free[len(free) * k // (radius + 1) : len(free) * (k + 1) // (radius + 1)] for k in range(radius + 1)]
+        cuts.append([sum(1 << b for b in span) for span in spans])
+    table = F.array(*[F.array(*[F.lit(_signed(m)) for m in row]) for row in cuts])
+
+    def finer(hot: DataFrame) -> DataFrame:
+        pieces = F.posexplode(F.element_at(table, F.col("t") + 1)).alias("k", "m")
+        each = hot.select("t", "key", "rep", "bits", pieces)
+        key = F.xxhash64("t", "key", _value("bits").bitwiseAND(F.col("m")))
+        return each.select((F.lit(len(masks)) + F.col("k")).alias("t"), key.alias("key"), "rep", "bits")
+
+    return finer
+
+
+def _finer_pairs(hot: DataFrame) -> DataFrame:
+    """More keys for what shares a shingle hash: each of the row's other smallest ones beside it."""
+    others = F.filter("keys", lambda k: k != F.col("key"))
+    return hot.select(F.lit(1).alias("t"), F.explode(F.transform(others, lambda k: F.xxhash64(F.col("key"), k))).alias("key"), "rep", "bits")
+
+
 def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, bits), their classes (bits, rep), and (node, component) of the classes that fingerprints link; if
     keyed, rows have `same` besides, and a class is one of it."""
@@ -225,15 +270,14 @@ def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int
     rows = fingerprints(docs, words, words64, keyed).checkpoint()
     least = [F.min("doc_id").alias("rep")] + [F.min_by("keys", "doc_id").alias("keys")] * keyed
     classes = rows.where("doc_id is not null").groupBy(*["same"] * keyed, "bits").agg(*least).checkpoint()
+    one = F.lit(1)
     if keyed:
-        candidates = classes.select(F.lit(0).alias("t"), F.explode("keys").alias("key"), "rep", "bits")
-    else:
-        low_first = F.concat(*[F.substring(F.hex("bits"), 15 - 2 * k, 2) for k in range(8)])
-        value = F.conv(low_first, 16, -10).cast("long")
-        masks = piece_masks(classes.count(), radius, bucket)
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-        candidates = classes.withColumn("v", value).select(F.explode(keys).alias("k"), "rep", "bits").select("k.t", "k.key", "rep", "bits")
-    return rows, classes, components(_links(candidates, near_bits(radius), "bits", F.lit(1), bucket))
+        candidates = classes.select(F.lit(0).alias("t"), F.explode("keys").alias("key"), "rep")
+        return rows, classes, components(_links(candidates, near_bits(radius), "bits", one, bucket, _finer_pairs, classes.select("rep", "bits", "keys")))
+    masks = piece_masks(classes.count(), radius, bucket)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    candidates = classes.withColumn("v", _value("bits")).select(F.explode(keys).alias("k"), "rep", "bits").select("k.t", "k.key", "rep", "bits")
+    return rows, classes, components(_links(candidates, near_bits(radius), "bits", one, bucket, _finer_pieces(masks, radius)))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -297,5 +341,7 @@ def near_classes(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE, bucke
 
 def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = NEAR_WIDE) -> DataFrame:
     """The rows of docs, with all columns, whose doc_id is the smallest of its class (rows without an id stay)."""
-    gone = near_classes(two(docs), words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_classes(two(docs), words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct().checkpoint()
+    if gone.count() <= BROADCAST:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
