@@ -8,7 +8,7 @@ A CRF is fitted to these sequences. Scoring runs forward-backward over the whole
 the toxic state give the spans (adjoining tokens at 0.5 or more), and their sum and
 maximum, through a logistic curve fitted on the same sample, give the document's score.
 
-The sample is bounded by parameters (`toxic_rows`, `clean_rows`, each of at most `sample_chars` characters), so fitting
+The sample is bounded by parameters (`toxic_rows`, `clean_rows`; whole texts of whatever length), so fitting
 on the driver and the broadcast weights don't grow with the input. Scoring is one scan; no shuffle.
 
 Defined cases: null and empty texts get the score of a text without any toxic token; null
@@ -255,9 +255,9 @@ def remainder(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 2500, sample_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 2500) -> Model:
     """Fit on a sample of labelled rows outside the held-out fifth: of each class the first rows in
-    the order of a hash of the id. Texts over `sample_chars` are left out of the sample (not of scoring)."""
+    the order of a hash of the id."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(remainder("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share, count = known.agg(F.avg("toxic"), F.count("*")).first()
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows
     for y, most in ((1, toxic_rows), (0, clean_rows)):
         label |= {r.doc_id: y for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
     ids = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
-    sample = two(docs).where(F.length("text") <= sample_chars).join(F.broadcast(ids), "doc_id")
+    sample = two(docs).join(F.broadcast(ids), "doc_id")
     rows = sample.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fit([r.text for r in rows], [label[r.doc_id] for r in rows], float(share))
 
