@@ -141,7 +141,7 @@ class Encoder:
 
     def parts(self, text: str) -> list[tuple[str, str]]:
         """Packed chunks of the text, in order."""
-        if "<|" not in text or not self.special.search(text):
+        if not self.special.search(text):
             return self._plain(text) if text else []
         out, at = [], 0
         for m in self.special.finditer(text):

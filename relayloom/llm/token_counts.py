@@ -24,8 +24,9 @@ from relayloom.llm.common import Cache, live, map_texts
 
 OVER = 2048
 
-#: Pieces of these characters are split here; the library gets any other piece as a whole.
-PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
+#: Pieces of these characters, which normalizing only lower-cases, each by itself, are split here: printable ASCII, and letters of
+#: the Latin, Greek (but for capital sigma), Cyrillic, Armenian, Hebrew and Arabic scripts, kana, Han and Hangul. The library gets any other piece as a whole.
+PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-žά-ώΑ-ΡΤ-ΩЀ-ѯԱ-Ֆա-ֆא-תء-ؿف-يぁ-ゖァ-ヺ一-鿿가-힣]+")
 # The pre-tokenizer pattern that the tokenizer file declares.
 PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -75,13 +76,14 @@ def counter(path: str) -> Cache:
 
 def _counter(path: str) -> Cache:
     tok, whole = load(path), whole_tokens(path)
+    special = regex.compile("|".join(regex.escape(x.content) for x in tok.get_added_tokens_decoder().values()) or r"(?!)")
 
     def merged(word: str) -> int:
         return len(tok.encode(word, add_special_tokens=False).ids)
 
     def count(piece: bytes) -> int:
         text = piece.decode()
-        if not PLAIN.fullmatch(text) or "<|" in text:
+        if not PLAIN.fullmatch(text) or special.search(text):
             return merged(text)
         return sum(1 if p in whole else merged(p) for p in PRE.findall(text.lower()))
 

@@ -16,7 +16,7 @@ ALPHABET = "aab  \n\t    'slltve<|endoftext|>x9٣ééÉΣςσİıßﬁ日本한
 def odd_texts():
     rnd = random.Random(5)
     made = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "<|endoftext|>", "<|startoftext|> x", " ", "  "]) for _ in range(6000)]
-    return made + ["a" * 3000, "ab" * 2000, "é" * 500, " " * 50, "x  " * 5, "=-" * 1000] + [f"a{chr(c)}1 {chr(c)}b" for c in range(0x3500) if not 0xD800 <= c < 0xE000]
+    return made + ["a" * 3000, "ab" * 2000, "é" * 500, " " * 50, "x  " * 5, "=-" * 1000] + [f"a{chr(c)}1 {chr(c)}b" for c in [*range(0x3500), *range(0x4E00, 0xA000, 37), *range(0xAC00, 0xD7A4, 41)]]
 
 
 def test_ids_equal_the_library():
