@@ -56,9 +56,9 @@ class Pattern:
             self.equal[c] |= 1 << k
         self.equal = dict(self.equal)
 
-    def distances(self, text: str) -> Iterator[int]:
-        """At each character: the least distance of the item to a piece of text that ends there."""
-        full, top, get = self.full, self.top, self.equal.get
+    def distances(self, text: str, whole: bool = False) -> Iterator[int]:
+        """At each character: the least distance of the item to a piece of text that ends there, or that to all of the text up to there."""
+        full, top, get, first = self.full, self.top, self.equal.get, int(whole)
         plus, minus, score = full, 0, self.size
         for c in text:
             equal = get(c, 0)
@@ -70,7 +70,7 @@ class Pattern:
                 score += 1
             elif less & top:
                 score -= 1
-            up = up << 1 & full
+            up = (up << 1 | first) & full
             plus = (less << 1 & full) | (full & ~(down | up))
             minus = up & down
             yield score
@@ -160,7 +160,7 @@ def _best(item_id: int, ends: list[tuple[int, int]], back: Pattern, plain: str,
         if best is not None and d >= best[0]:
             break
         text = plain[max(0, first + end - back.size - errors) : first + end]
-        for k, far in enumerate(back.distances(text[::-1]), 1):
+        for k, far in enumerate(back.distances(text[::-1], whole=True), 1):
             at = first + end - k
             if far <= errors and (best is None or far < best[0]) and (at == 0 or plain[at - 1] == " "):
                 best = far, at, first + end
