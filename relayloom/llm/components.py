@@ -26,7 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Links never come to the driver: each round is checkpointed (lost executors cost no earlier
     round) and only its row count and hash total are compared with those of the round before.
-    Long chains shorten by a constant factor a round. Loops and null ends are dropped; an empty
+    Long chains shorten by a constant factor a round, so 60 rounds are far more than any table needs; if links had not settled then, it
+    raises rather than give a part. Loops and null ends are dropped; an empty
     table gives an empty result. A hub's rows meet in joins, whose skewed partitions Spark splits.
     """
     spark = edges.sparkSession

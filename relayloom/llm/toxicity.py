@@ -130,6 +130,43 @@ def _apart(texts: list[str]) -> list[int]:
     return out
 
 
+def _alike_long(lengths: np.ndarray, parts: int = 4) -> list[np.ndarray]:
+    """Numbers of sequences, the longest first, in groups of about equal total lengths: a group's lattice takes a share of the memory of all,
+    and no more steps than its longest."""
+    order = np.argsort(-lengths, kind="stable")
+    done = np.cumsum(lengths[order])
+    cuts = np.searchsorted(done, done[-1] * np.arange(1, parts) / parts, "left") + 1
+    return [some for some in np.split(order, np.unique(cuts)) if len(some)]
+
+
+class _Group:
+    """Documents of the sample with their token labels, for the gradient of the likelihood."""
+
+    def __init__(self, words: list[np.ndarray], toxic: np.ndarray, marked: np.ndarray):
+        lengths = np.array([len(w) for w in words], np.int64)
+        self.token, self.lattice = np.concatenate(words).astype(np.int32), Lattice(lengths)
+        label = marked[self.token] & np.repeat(toxic == 1, lengths)
+        self.gold = np.zeros(len(label), bool)
+        self.gold[self.lattice.where] = label
+        starts, active = self.lattice.at, self.lattice.active
+        # The token before each: all but the first of a text, which come first in the lattice.
+        self.before = np.concatenate([np.arange(starts[t], starts[t] + n) for t, n in enumerate(active[1:])] or [np.empty(0, np.int64)]).astype(np.int32)
+        self.after = slice(int(active[0]) if len(active) else 0, None)
+        a, b = self.gold[self.before].astype(float), self.gold[self.after].astype(float)
+        #: Moves from state i to state j, 00, 01, 10, 11.
+        self.true = np.array([(1 - a) @ (1 - b), (1 - a) @ b, a @ (1 - b), a @ b])
+
+    def add(self, by_word: np.ndarray, moves: np.ndarray, off: np.ndarray, joint: np.ndarray) -> None:
+        """Add the difference from the labels, word by word, to off, and the expected moves to joint."""
+        odds, ahead, back, e = self.lattice.marginal_odds(by_word[self.token], moves)
+        odds /= 1 + odds
+        odds -= self.gold
+        off += np.bincount(self.token, odds[self.lattice.where], len(off))
+        x, f = e[self.after] * back[self.after], ahead[self.before]
+        share = 1 / (moves[0, 0] + moves[0, 1] * x + moves[1, 0] * f + moves[1, 1] * f * x)
+        joint += [moves[0, 0] * share.sum(), moves[0, 1] * (x @ share), moves[1, 0] * (f @ share), moves[1, 1] * ((f * x) @ share)]
+
+
 def fit(texts: list[str], toxic: list[int], base_rate: float, steps: int = 40) -> Model:
     """base_rate: share of toxic documents among all that are labelled (the sample is stratified)."""
     apart = _apart(texts)
@@ -164,42 +201,31 @@ def fit(texts: list[str], toxic: list[int], base_rate: float, steps: int = 40) -
     of_word = np.repeat(np.arange(len(own)), [len(x) for x in own])
     of_feature = np.array([k for x in own for k in x], np.int64)
     del number, distinct
-    token, lengths = np.concatenate(words), np.array([len(w) for w in words], np.int64)
-    doc = np.repeat(np.arange(len(words)), lengths)
-    label = (marked[token] & (y[doc] == 1)).astype(float)
-
-    lattice = Lattice(lengths)
-    gold = np.zeros(len(token))
-    gold[lattice.where] = label
-    starts = lattice.at
-    # The token before each: all but the first of a text, which come first in the lattice.
-    before = np.concatenate([np.arange(starts[t], starts[t] + n) for t, n in enumerate(lattice.active[1:])] or [np.empty(0, np.int64)]).astype(np.int32)
-    after = slice(int(lattice.active[0]) if len(lattice.active) else 0, None)
-    a, b = gold[before], gold[after]
-    true = [((1 - a) @ (1 - b)), (1 - a) @ b, a @ (1 - b), a @ b]
-    del a, b, words, doc, label
+    groups = [_Group([words[k] for k in some], y[some], marked) for some in _alike_long(np.array([len(w) for w in words], np.int64))]
+    del words
+    true = sum(g.true for g in groups)
     theta = np.zeros(len(known) + 5)  # features, bias, moves
     theta[len(known)] = -2.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        by_word = np.bincount(of_word, theta[of_feature], len(own)) + theta[len(known)]
+        by_word = np.clip(np.bincount(of_word, theta[of_feature], len(own)) + theta[len(known)], -_CLIP, _CLIP)
         moves = np.exp(theta[-4:].reshape(2, 2))
-        odds, ahead, back, e = lattice.marginal_odds(np.clip(by_word[token], -_CLIP, _CLIP), moves)
-        p = odds / (1 + odds)
-        off = np.bincount(token, (p - gold)[lattice.where], len(own))
+        off, joint = np.zeros(len(own)), np.zeros(4)
+        for each in groups:
+            each.add(by_word, moves, off, joint)
         g = np.zeros_like(theta)
         g[: len(known)] = np.bincount(of_feature, off[of_word], len(known))
         g[len(known)] = off.sum()
-        x, f = e[after] * back[after], ahead[before]
-        share = 1 / (moves[0, 0] + moves[0, 1] * x + moves[1, 0] * f + moves[1, 1] * f * x)
-        joint = [moves[0, 0] * share.sum(), moves[0, 1] * (x @ share), moves[1, 0] * (f @ share), moves[1, 1] * ((f * x) @ share)]
-        g[-4:] = np.array(joint) - true
+        g[-4:] = joint - true
         g += 0.5 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    del groups
     kept = {f: float(w) for f, w in zip(known, theta) if abs(w) > 0.05}
     model = Model(kept, float(theta[len(known)]), np.exp(theta[-4:].reshape(2, 2)))
-    x = np.array([[1.0, math.log1p(s), top] for s, top in _sums(model, texts)])
+    x, cache = np.ones((len(texts), 3)), Cache(model.emission)
+    for some in _alike_long(np.array([len(t) for t in texts], np.int64)):
+        x[some, 1:] = [(math.log1p(s), top) for s, top in _sums(model, [texts[k] for k in some], cache)]
     share = y.mean()
     weight = np.where(y == 1, base_rate / share, (1 - base_rate) / (1 - share))
     curve = np.zeros(3)

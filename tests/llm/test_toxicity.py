@@ -6,7 +6,7 @@ import pytest
 
 from relayloom.llm.common import table
 from relayloom.llm.queries import op3_toxicity
-from relayloom.llm.toxicity import Lattice, Model, drop_toxic, features, score_texts, toxicity, train
+from relayloom.llm.toxicity import WORD, Lattice, Model, drop_toxic, features, score_texts, toxicity, train
 
 
 def brute_marginals(emission, moves):
@@ -56,6 +56,32 @@ def test_query(spark, sf):
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def plain_score(model, text):
+    """Forward and backward sums in logarithms, a word at a time; the curve at the end."""
+    e = [[0.0, model.emission(w)] for w in WORD.findall(text)]
+    move = np.log(model.moves)
+    ahead, back = [], [[0.0, 0.0]]
+    for k, x in enumerate(e):
+        ahead.append([x[j] + (np.logaddexp(ahead[k - 1][0] + move[0][j], ahead[k - 1][1] + move[1][j]) if k else 0.0) for j in (0, 1)])
+    for x in reversed(e[1:]):
+        back.append([np.logaddexp(move[i][0] + x[0] + back[-1][0], move[i][1] + x[1] + back[-1][1]) for i in (0, 1)])
+    p = [1 / (1 + np.exp(np.clip(a[0] + b[0] - a[1] - b[1], -700, 700))) for a, b in zip(ahead, back[::-1])]
+    c0, c1, c2 = model.curve
+    return 1 / (1 + np.exp(-(c0 + c1 * np.log1p(sum(p)) + c2 * max(p, default=0.0))))
+
+
+def test_query_equals_plain_forward_backward(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    model = train(docs, table(spark, sf, "labels"))
+    assert len(model.weights) > 10
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = op3_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts) and {r.predicted for r in rows} == {0, 1}
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-6)
+
+
 def test_spans_are_offsets_of_the_text():
     model = Model({"bad.": 9.0}, -4.0, np.ones((2, 2)), (-3.0, 2.0, 4.0))
     text = "ÉBad bad BAD, good bad"
