@@ -132,8 +132,8 @@ def read(spark: SparkSession, url: str, table: str, partitions: int = 1, lower:
     out = spark.read.format("jdbc").options(url=url, dbtable=check_table_name(table), preferTimestampNTZ="true", **options)
     if partitions > 1:
         out = out.options(partitionColumn="created_at", lowerBound=lower, upperBound=upper, numPartitions=partitions)
-    # Names come back in the database's case.
-    return out.load().toDF(*[c.lower() for c in out.load().columns])
+    found = out.load()
+    return found.toDF(*[c.lower() for c in found.columns])  # names come back in the database's case
 
 
 def append(events: DataFrame, url: str, table: str, **options: str) -> None:

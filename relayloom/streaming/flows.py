@@ -99,11 +99,13 @@ class HotQueue:
     """Ids of fresh events that wait for delivery, oldest first; at most `capacity`."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.ids, self.lock = capacity, [], threading.Lock()
+        self.capacity, self.ids, self.closed, self.lock = capacity, [], False, threading.Lock()
 
     def offer(self, ids: Iterable[str]) -> int:
         """How many were taken; the others are found by a poll."""
         with self.lock:
+            if self.closed:
+                return 0
             new = list(ids)[: max(self.capacity - len(self.ids), 0)]
             self.ids += new
             return len(new)
@@ -113,6 +115,11 @@ class HotQueue:
             out, self.ids = self.ids[:most], self.ids[most:]
             return out
 
+    def close(self) -> None:
+        """Take nothing more."""
+        with self.lock:
+            self.closed = True
+
     def __len__(self) -> int:
         return len(self.ids)
 
@@ -357,6 +364,16 @@ class Stack(PollHandler):
                 raise RuntimeError(f"events are still due after {most} cycles")
         return total
 
+    def close(self, now: datetime | str, timeout: timedelta = timedelta(seconds=5)) -> int:
+        """Queue no more fresh events, deliver those that wait until the time is up, and leave the rest to a poll; how many were delivered."""
+        self.hot.close()
+        n, end = 0, time.monotonic() + timeout.total_seconds()
+        while len(self.hot) and time.monotonic() < end:
+            n += self.poll(now, self, 0)
+        self.hot.take(len(self.hot))
+        self.exporter.close()
+        return n
+
     def start(self, checkpoint: str, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)) -> StreamingQuery:
         """Cycles at the configured interval, driven by a rate source; stop() ends after the running one."""
         ticks = self.store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()

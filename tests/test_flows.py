@@ -419,3 +419,13 @@ def test_another_codec(spark, tmp_path):
     s.write(envelopes(spark, 1, headers={"a": "b"}), T0)
     assert s.store.read().first().headers == "a=b"
     assert s.cycle(T0 + timedelta(minutes=1)) == 1 and seen.read_text() == "{'a': 'b'}"
+
+
+def test_closing_delivers_what_waits_until_the_time_is_up(spark, tmp_path):
+    for timeout, want in ((60, 5), (0, 0)):
+        s = stack(spark, tmp_path / str(timeout), flows.single_node(batch=2))
+        s.listener("made")(lambda e: None)
+        s.write(envelopes(spark, 5), T0)
+        assert s.close(T0 + timedelta(minutes=1), timedelta(seconds=timeout)) == want and not len(s.hot)
+        s.write(envelopes(spark, 1, event_id="later"), T0)
+        assert not len(s.hot) and s.drain(T0 + timedelta(minutes=1)) == 6 - want
