@@ -14,14 +14,15 @@ Two ways to buckets, neither of which drops a case:
 * wider fingerprints (`similar`): classes meet that share one of the 8 smallest shingle
   hashes. At similarity s a pair shares none of them with probability (1 - s)^8, 3 in a
   million at 0.8.
-A bucket of over `BUCKET` classes is divided by further keys: by pieces of the bits that its classes need not
-agree on, which loses no pair within the radius; or by a second one of the 8 hashes (a pair at 0.8 that shares just this one, and
-no other of any bucket, comes up 8 times in 100,000). What is over `BUCKET` still is cut into chunks by a hash, and each pair of chunks is a
-group of its own, so no task holds more than two chunks, and no pair is lost.
+A bucket of over `BUCKET` classes is divided by further keys, of which no pair that counts is lost: by pieces of the bits that its
+classes need not agree on, all that are within the radius meet again; or the first fifth (and one) of each set's hashes are its keys, those that
+many of these sets have last: whatever the order, two sets of similarity 0.8 or more share one of them. What is over `BUCKET` still is cut into
+chunks by a hash, and each pair of chunks is a group of its own, so no task holds more than two chunks, and no pair is lost.
 
 Wide fingerprints only lead to pairs. What lies within their radius is joined to components, of which
 pairs of similarity 0.8 never leave; the shingle sets of those with company are made again from the texts,
-meet in their component, and a pair is a link if the exact Jaccard similarity of its sets is at least 0.8.
+meet in their component, and a pair is a link if the exact Jaccard similarity of its sets is at least 0.8. A very large component is divided by
+the first fifth of the hashes, too, so that the sizes of buckets and components decide on the work, and never on a link that was found in smaller ones.
 
 Defined cases: null or blank texts have fingerprint 0 and are linked like any other (`similar`: to
 their equals only, having no shingle to share); ties
@@ -51,8 +52,10 @@ SMALLEST = 8
 WIDE, NEAR_WIDE = 16, 256
 #: Shingle hashes, and so many more for each text, that are compared at once with those of another chunk.
 CHUNK, EACH = 1 << 20, 256
-#: So many classes' ids go to all executors at most.
-BROADCAST = 1_000_000
+#: So many chunks in a component before it is divided by shingle hashes.
+CHUNKS = 64
+#: So many classes' ids go to all executors at most, and so many hashes that come last in the order of keys (the most frequent ones).
+BROADCAST, LAST = 1_000_000, 100_000
 _GOLDEN = 0x9E3779B97F4A7C15  # fixed value: 2^64 over the golden ratio
 
 
@@ -103,6 +106,16 @@ def digest(distinct: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(distinct.tobytes())
 
 
+def first_fifth(hashes: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Of ascending distinct hashes, with those in `last` (ascending) put last: so many of the first that any two sets of similarity 0.8 or more share one.
+
+    Such sets have four fifths of either in common at least, so the first hash in common has that many after it (itself counted) in both."""
+    if last is not None and len(last) and len(hashes):
+        late = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
+        hashes = np.r_[hashes[~late], hashes[late]]
+    return hashes[: len(hashes) // 5 + 1]
+
+
 def fingerprints(docs: DataFrame, words: int, words64: int = 1, keyed: bool = False) -> DataFrame:
     """doc_id, bits (64-bit words, low first) and, if keyed, the digest and the smallest of the distinct
     shingle hashes, which the bits are of then."""
@@ -207,23 +220,24 @@ def link_runs(find: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarra
     return run
 
 
+def _sized(rows: DataFrame, weight: Column) -> DataFrame:
+    """t, key, size of the keys that several rows have."""
+    return rows.groupBy("t", "key").agg(F.sum(weight).alias("size"), F.count("*").alias("members")).where("members > 1").drop("members")
+
+
 def _links(candidates: DataFrame, find: Callable, what: str, weight: Column, most: int, finer: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that `find` makes by the column `what` among the candidates (t, key, rep, what) of one (t, key) each.
 
     Keys of a single candidate go first, before columns of `more` (by rep) come to the others. Those of an overfull bucket
-    get the keys that `finer` gives them, and what is overfull still is cut into chunks."""
-
-    def sized(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("t", "key").agg(F.sum(weight).alias("size"), F.count("*").alias("members")).where("members > 1").drop("members")
-
-    size = sized(candidates).checkpoint()
+    get the keys that `finer` gives them, of which all that may be links share one, and what is overfull still is cut into chunks."""
+    size = _sized(candidates, weight).checkpoint()
     met = candidates.join(size, ["t", "key"])
     if more is not None:
         met = met.join(more, "rep")
     columns = ["t", "key", "rep", what, "size"]
     if finer is not None and not size.where(F.col("size") > most).isEmpty():
         again = finer(met.where(F.col("size") > most))
-        met = met.where(F.col("size") <= most).select(*columns).unionByName(again.join(sized(again), ["t", "key"]).select(*columns))
+        met = met.where(F.col("size") <= most).select(*columns).unionByName(again.join(_sized(again, weight), ["t", "key"]).select(*columns))
     met = met.withColumn("chunks", F.when(F.col("size") > most, F.ceil(F.col("size") / most).cast("int")))
     met = met.withColumn("own", F.pmod(F.xxhash64("rep", what), F.col("chunks")).cast("int"))
     part = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, F.col("own")) * F.col("chunks") + F.greatest(o, F.col("own")))
@@ -257,10 +271,20 @@ def _finer_pieces(masks: list[int], radius: int):
     return finer
 
 
-def _finer_pairs(hot: DataFrame) -> DataFrame:
-    """More keys for what shares a shingle hash: each of the row's other smallest ones beside it."""
-    others = F.filter("keys", lambda k: k != F.col("key"))
-    return hot.select(F.lit(1).alias("t"), F.explode(F.transform(others, lambda k: F.xxhash64(F.col("key"), k))).alias("key"), "rep", "bits")
+def _finer_hashes(docs: DataFrame, words: int, most: int):
+    """More keys for what shares a shingle hash with too many: the first fifth of its hashes, those last that over `most` of these sets have."""
+
+    def finer(hot: DataFrame) -> DataFrame:
+        wanted = hot.select("rep", "same").distinct().checkpoint()
+        all_of = _of_sets(docs, wanted, words, "key long", lambda row, hashes: {"key": hashes.view(np.int64)})
+        often = all_of.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(LAST)
+        last = np.sort(np.array([r.key for r in often.select("key").collect()], np.int64).view(np.uint64))
+        keys = _of_sets(docs, wanted, words, "rep long, key long", lambda row, hashes: {"rep": np.full(len(k := first_fifth(hashes, last).view(np.int64)), row["rep"]), "key": k})
+        keys = keys.select(F.lit(1).alias("t"), "key", "rep").checkpoint()
+        met = keys.join(_sized(keys, F.lit(1)).select("t", "key"), ["t", "key"])
+        return met.join(hot.select("rep", "bits").distinct(), "rep").select("t", "key", "rep", "bits")
+
+    return finer
 
 
 def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -273,20 +297,20 @@ def _classes(docs: DataFrame, words: int, words64: int, keyed: bool, radius: int
     one = F.lit(1)
     if keyed:
         candidates = classes.select(F.lit(0).alias("t"), F.explode("keys").alias("key"), "rep")
-        return rows, classes, components(_links(candidates, near_bits(radius), "bits", one, bucket, _finer_pairs, classes.select("rep", "bits", "keys")))
+        return rows, classes, components(_links(candidates, near_bits(radius), "bits", one, bucket, _finer_hashes(docs, words, bucket), classes.select("rep", "bits", "same")))
     masks = piece_masks(classes.count(), radius, bucket)
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     candidates = classes.withColumn("v", _value("bits")).select(F.explode(keys).alias("k"), "rep", "bits").select("k.t", "k.key", "rep", "bits")
     return rows, classes, components(_links(candidates, near_bits(radius), "bits", one, bucket, _finer_pieces(masks, radius)))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """component, rep, n, keys (the smallest) and hashes: the distinct shingle hashes, ascending, of the classes wanted
-    (component, rep, same). They are made again from the texts: kept for all texts, they would take more room than these."""
+def _of_sets(docs: DataFrame, wanted: DataFrame, words: int, schema: str, make: Callable[[dict, np.ndarray], dict]) -> DataFrame:
+    """Columns that `make` gives for each class wanted (rep, same, ...) and its distinct shingle hashes, ascending. They are
+    made again from the texts: kept for all texts, they would take more room than these."""
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = two(docs).join(wanted, F.col("doc_id") == F.col("rep")).select("component", "rep", "same", "text")
-    out = docs.sparkSession.createDataFrame([], "component long, rep long, n long, keys array<long>, hashes binary").schema
+    texts = two(docs).join(wanted, F.col("doc_id") == F.col("rep")).select(*wanted.columns, "text")
+    out = docs.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -297,18 +321,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for row in part.to_pylist():
                 hashes = np.unique(shingle_hashes(row["text"] or "", words))
                 if digest(hashes) == row["same"]:  # else another row with this id
-                    made.append({"component": row["component"], "rep": row["rep"], "n": len(hashes), "keys": hashes[:SMALLEST].view(np.int64).tolist(), "hashes": hashes.tobytes()})
-            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made.append(make(row, hashes))
+            if made:
+                columns = [pa.concat_arrays([pa.array(m[f.name], f.type) for m in made]) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return texts.mapInArrow(run, out)
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """component, rep, n, keys (the first fifth) and hashes: the distinct shingle hashes, ascending, of the classes wanted (component, rep, same)."""
+
+    def make(row: dict, hashes: np.ndarray) -> dict:
+        return {"component": [row["component"]], "rep": [row["rep"]], "n": [len(hashes)], "keys": [first_fifth(hashes).view(np.int64)], "hashes": [hashes.tobytes()]}
+
+    return _of_sets(docs, wanted, words, "component long, rep long, n long, keys array<long>, hashes binary", make)
+
+
 def _confirmed(sets: DataFrame, chunk: int) -> DataFrame:
     """Links (a, b) that connect just what pairs of one component with a similarity of 0.8 or more connect. A component of
-    many chunks is cut by the smallest hashes first, one of which such pairs share."""
+    many chunks is cut by the first fifth of the hashes, one of which all such pairs share."""
     sets = sets.checkpoint()
     weight = F.col("n") + EACH
-    large = sets.groupBy("component").agg(F.sum(weight).alias("size")).where(F.col("size") > SMALLEST * chunk)
+    large = sets.groupBy("component").agg(F.sum(weight).alias("size")).where(F.col("size") > CHUNKS * chunk)
     keys = F.when(F.col("size").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.col("keys"))
     met = sets.join(large, "component", "left").select(F.col("component").alias("t"), F.explode(keys).alias("key"), "rep", "n", "hashes")
     return _links(met, near_sets, "hashes", weight, chunk)

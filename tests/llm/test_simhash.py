@@ -7,7 +7,7 @@ import xxhash
 from relayloom.llm import bitslice
 from relayloom.llm.common import table
 from relayloom.llm.components import components
-from relayloom.llm.simhash import drop_near_copies, near_classes, piece_masks, shingle_hashes, simhash_classes
+from relayloom.llm.simhash import drop_near_copies, first_fifth, near_classes, piece_masks, shingle_hashes, simhash_classes
 
 
 def brute_fingerprint(text, words=4):
@@ -173,3 +173,52 @@ def test_equal_fingerprints_are_no_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_classes(docs).collect()}
     assert got == exact_classes(dict(enumerate(texts))) == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
+
+
+def without(words, ranks):
+    """The words, one replaced in each of the shingles whose hashes have these ranks, so that those shingles are gone."""
+    hashes = shingle_hashes(" ".join(words), 5)
+    out = list(words)
+    for k in np.argsort(hashes)[list(ranks)]:
+        out[k + 2] = "other%d" % k
+    return out
+
+
+def test_an_overfull_bucket_loses_no_pair(spark):
+    """Two texts that are 0.8 alike share one of their 8 smallest hashes, and that one with many others."""
+    a = ["w%d" % x for x in np.random.default_rng(1).integers(0, 10**6, 500)]
+    b = without(a, range(1, 8))
+    shared = int(np.argmin(shingle_hashes(" ".join(a), 5)))
+    rows = [" ".join(a), " ".join(b)] + [" ".join(a[shared : shared + 5] + ["more%d" % k] * 3) for k in range(30)]
+    least = [set(np.unique(shingle_hashes(t, 5))[:8].tolist()) for t in rows]
+    assert len(least[0] & least[1]) == 1 and all(least[0] & least[1] <= x for x in least)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = exact_classes(dict(enumerate(rows)))
+    assert want[1] == 0
+    for bucket in (4096, 7):
+        assert {r.doc_id: r.component_id for r in near_classes(docs, bucket=bucket).collect()} == want
+
+
+def test_a_large_component_loses_no_pair(spark):
+    """Two texts that are 0.8 alike share none of their 8 smallest hashes, but are in one component by a third."""
+    a = ["w%d" % x for x in np.random.default_rng(2).integers(0, 10**6, 504)]
+    b, c = without(a, range(8)), without(a, [*range(4), *range(60, 72)])
+    rows = [" ".join(x) for x in (a, b, c)]
+    least = [set(np.unique(shingle_hashes(t, 5))[:8].tolist()) for t in rows]
+    assert not least[0] & least[1] and least[0] & least[2] and least[1] & least[2]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for chunk in (1 << 20, 200, 30):
+        assert {r.doc_id: r.component_id for r in near_classes(docs, chunk=chunk).collect()} == exact_classes(dict(enumerate(rows))) == {0: 0, 1: 0, 2: 2}
+
+
+def test_first_fifths_of_alike_sets_meet_in_any_order():
+    rng = np.random.default_rng(6)
+    for _ in range(2000):
+        n = int(rng.integers(1, 60))
+        x = rng.choice(100, n, replace=False)
+        y = np.r_[x[int(rng.integers(0, n // 5 + 1)) :], 100 + rng.choice(9, int(rng.integers(0, min(9, n // 5 + 1))), replace=False)]
+        x, y = np.sort(x).astype(np.uint64), np.sort(y).astype(np.uint64)
+        last = np.sort(rng.choice(110, int(rng.integers(0, 110)), replace=False)).astype(np.uint64)
+        common = len(np.intersect1d(x, y))
+        if 5 * common >= 4 * (len(x) + len(y) - common):
+            assert len(np.intersect1d(first_fifth(x, last), first_fifth(y, last)))
