@@ -31,6 +31,8 @@ from relayloom.llm.token_counts import byte_chars
 # The split pattern of this family of byte-level vocabularies, with its white space spelled out.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Chunks of text that a worker keeps for digests, twice at most; and where ids are made for a pipeline, whose workers have less memory to spare.
+KEPT, KEPT_IN_PIPELINE = 300_000, 100_000
 #: A blank between white space, or between it and the end: there a cut at blanks would split one pre-token.
 _INNER_BLANK = regex.compile(r"\s (?:\s|\Z)")
 
@@ -38,7 +40,7 @@ _INNER_BLANK = regex.compile(r"\s (?:\s|\Z)")
 class Vocabulary:
     """Tokens as bytes, their merges, and the automaton that finds them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         spec = json.load(open(path))
         back = {c: b for b, c in enumerate(byte_chars())}
         vocab = spec["model"]["vocab"]
@@ -59,7 +61,7 @@ class Vocabulary:
         for s, i in vocab.items():
             self.found.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.found.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.fits(*p), 200_000)
+        self.pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.fits(*p), min(kept, 200_000))
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their joint bytes are encoded.
@@ -112,11 +114,11 @@ class Encoder:
     they give is kept: ids as text, and the text that those ids decode to. No character is cut between
     two chunks, so decoding by chunk is decoding the whole."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, kept: int = KEPT):
+        self.vocabulary = Vocabulary(path, kept)
         self.special = regex.compile("|".join(map(regex.escape, self.vocabulary.special)) or r"(?!)")
-        self.words = Cache(lambda w: self._pack(self.vocabulary.encode_word(w.encode()), w), 100_000)
-        self.chunks = Cache(self._chunk, 300_000)
+        self.words = Cache(lambda w: self._pack(self.vocabulary.encode_word(w.encode()), w), min(kept // 2, 100_000))
+        self.chunks = Cache(self._chunk, kept)
 
     def _pack(self, ids: list[int], text: str) -> tuple[str, str]:
         """The ids as text, and what they decode to (the given object if equal, to save memory)."""
@@ -158,8 +160,8 @@ class Encoder:
         return [int(x) for p in self.parts(text) for x in p[0].split(",")]
 
 
-def encoder(path: str) -> Encoder:
-    return live(("bpe", path), lambda: Encoder(path))
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    return live(("bpe", path, kept), lambda: Encoder(path, kept))
 
 
 def digest_texts(texts: list[str], path: str) -> dict[str, list]:
@@ -175,7 +177,8 @@ def digest_texts(texts: list[str], path: str) -> dict[str, list]:
 
 
 def encode_texts(texts: list[str], path: str) -> dict[str, list]:
-    enc = encoder(path)
+    enc = encoder(path, KEPT_IN_PIPELINE)
+    pa.default_memory_pool().release_unused()
     listed = [",".join([p[0] for p in enc.parts(t)]) for t in texts]
     ids = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in listed]
     same = [enc.decode(x.tolist()) == t for x, t in zip(ids, texts)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -102,10 +104,21 @@ def live(key: tuple, make: Callable[[], object]):
     the caches of one operator must not stay beside those of the next."""
     if key not in _live:
         _live.clear()
+        _give_back()
         _live[key] = make()
     return _live[key]
 
 
+def _give_back() -> None:
+    """Give the system what nothing holds any more: objects that refer to each other, as caches and what fills them, are found by
+    the collector only, and Arrow and the C library keep freed memory for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there in glibc
+    if trim is not None:
+        trim(0)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share; the cluster names it in spark.checkpoint.dir. It is deleted when the driver ends."""
     folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relayloom.llm.bitslice import forest
-from relayloom.llm.common import checkpoint_dir, chunks, map_texts, two
+from relayloom.llm.common import checkpoint_dir, chunks, live, map_texts, two
 from relayloom.llm.components import components
 
 BUCKET = 4096
@@ -121,6 +121,7 @@ def fingerprints(docs: DataFrame, words: int, words64: int = 1, keyed: bool = Fa
     shingle hashes, which the bits are of then."""
 
     def of(texts: list[str]) -> dict[str, list]:
+        live(("shingles",), dict)  # nothing is kept here, nor what was kept before
         out = {"bits": [], "same": [], "keys": []}
         for text in texts:
             hashes = shingle_hashes(text, words)

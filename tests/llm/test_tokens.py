@@ -1,12 +1,15 @@
+import gc
 import random
+import weakref
 from hashlib import sha256
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from relayloom.llm.bpe import bpe_digests, bpe_encode, decode_ids, encoder
-from relayloom.llm.common import table
+from relayloom.llm import bpe
+from relayloom.llm.bpe import bpe_digests, bpe_encode, decode_ids, encode_texts, encoder
+from relayloom.llm.common import live, table
 from relayloom.llm.token_counts import count_texts, token_counts, whole_tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -77,3 +80,22 @@ def test_odd_rows(odd_docs, no_docs, of):
     got = of(odd_docs).collect()
     assert len(got) == odd_docs.count() and of(no_docs).count() == 0
     assert {r.doc_id: r.n_tokens for r in got}[3] == {r.doc_id: r.n_tokens for r in got}[4] == 0
+
+
+def test_what_one_operator_kept_is_gone_when_the_next_begins():
+    gc.disable()  # what refers to itself stays until the collector runs
+    try:
+        kept = weakref.ref(encoder(BYTES))
+        assert kept() is encoder(BYTES)
+        live(("another",), dict)
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
+def test_a_stage_keeps_a_bounded_number_of_chunks(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_IN_PIPELINE", 50, raising=False)
+    lib, texts = Tokenizer.from_file(BYTES), [" ".join(f"word{k}{j}x" for j in range(40)) for k in range(40)]
+    assert [x.tolist() for x in encode_texts(texts, BYTES)["ids"]] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    enc = encoder(BYTES, 50)
+    assert all(len(c) + len(c.old) <= 100 for c in (enc.chunks, enc.words, enc.vocabulary.pairs))
