@@ -49,8 +49,8 @@ from relayloom.llm.token_counts import load
 BLOCK = 1 << 16
 FRAME = 8 << 20
 END = 2
-#: Pieces of text whose ids a Python worker keeps.
-PIECES = 700_000
+#: Pre-tokens whose ids a Python worker keeps, twice at most.
+WORDS = 500_000
 #: Parts whose first positions are broadcast at most; there is one for each task that wrote.
 BROADCAST = 100_000
 
@@ -76,13 +76,19 @@ def register_coder(spark: SparkSession) -> None:
 #: Texts of these characters are split here; the library gets any other text as a whole.
 _PLAIN = r"[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*"
 #: The tokenizer's pre-token pattern on such texts in lower case, where these are all the letters and digits.
-_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+")
+_PRE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+"
+
+
+def _distinct(cut: pa.ListArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The values of all lists, each distinct one once, and where the lists begin and end."""
+    ends = cut.offsets.to_numpy()
+    return cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode(), ends - ends[0]
 
 
 class Tokens:
     """Ids of many texts at once. White space, which this tokenizer drops, cuts texts into pieces; Arrow finds the distinct pieces
-    of a batch, and puts their ids in the places of the pieces. A piece's ids are kept; a
-    new one is made of its pre-tokens, which repeat still more.
+    of a batch, cuts these into pre-tokens, finds the distinct ones of them, and puts their ids in the places of pre-tokens and
+    pieces. A pre-token's ids are kept.
 
     The library encodes what is new in a batch in one go: pre-tokens joined by blanks,
     whose ids are told apart by the word-end mark that the last token of each has."""
@@ -97,12 +103,14 @@ class Tokens:
             ends[i] = entry.endswith("</w>")
         self.ends = ends
         self.special = "|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values())
-        # Pieces are quickly made again of words, so they are dropped all at once when there are too many.
-        self.pieces, self.words = {}, Cache(None, 300_000)
+        self.words = Cache(None, WORDS)
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens."""
-        known, new = self.words.known(words)
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after another, and how many each has (the empty string: none)."""
+        parts = list(map(self.words.get, words))
+        holes = [k for k, p in enumerate(parts) if p is None]
+        known, new = self.words.known({words[k] for k in holes} - {""})
+        known[""] = b""
         for at in range(0, len(new), 100_000):
             some = new[at : at + 100_000]
             joined = [" ".join(some[k : k + 200]) for k in range(0, len(some), 200)]
@@ -113,33 +121,20 @@ class Tokens:
             made = {w: raw[a:b] for w, a, b in zip(some, [0, *cuts], cuts)}
             self.words.update_all(made)
             known |= made
-        return known
-
-    def _pieces(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not kept yet."""
-        split = {p: _PRE.findall(p) for p in new}
-        get = self._words(set().union(*split.values())).__getitem__
-        made = {p: b"".join(map(get, ws)) for p, ws in split.items()}
-        if len(self.pieces) + len(made) > PIECES:
-            self.pieces.clear()
-        self.pieces.update(made)
-        return made
+        for k in holes:
+            parts[k] = known[words[k]]
+        return np.frombuffer(b"".join(parts), np.uint16), np.fromiter(map(len, parts), np.int64, len(parts)) // 2
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts."""
-        cut = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-        ends = cut.offsets.to_numpy()
-        coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        parts = list(map(self.pieces.get, own))
-        holes = [k for k, p in enumerate(parts) if p is None]
-        made = self._pieces({own[k] for k in holes})
-        for k in holes:
-            parts[k] = made[own[k]]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-        ids = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], np.frombuffer(b"".join(parts), np.uint16))
-        at = np.r_[0, np.cumsum(size[coded.indices.to_numpy()])]
-        return ids.take(coded.indices).flatten().to_numpy(), np.diff(at[ends - ends[0]])
+        pieces, by_text = _distinct(pc.utf8_split_whitespace(pc.utf8_lower(texts)))
+        marked = pc.replace_substring_regex(pieces.dictionary, _PRE, r"\0 ")
+        words, by_piece = _distinct(pc.split_pattern(pc.utf8_rtrim(marked, " "), " "))
+        ids, size = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        for coded, parts in ((words, by_piece), (pieces, by_text)):  # ids of pieces, then of texts
+            ids = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], ids).take(coded.indices).flatten().to_numpy()
+            size = np.diff(np.r_[0, np.cumsum(size[coded.indices.to_numpy()])][parts])
+        return ids, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), one after another, and how many each has."""

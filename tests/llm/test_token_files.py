@@ -156,3 +156,23 @@ def test_learning_goes_on_to_the_end_of_a_block(spark):
     start = rng.integers(1000, 2000, 16_384)
     few, many = (8 * len(x) / BLOCK for x in pack(spark, np.r_[start, rng.integers(500, 516, BLOCK - 16_384)], np.r_[start, rng.integers(1000, 2000, BLOCK - 16_384)]))
     assert few < 8 and few < many - 3, (few, many)
+
+
+def test_only_pre_tokens_are_kept_and_cut_as_the_pattern_cuts():
+    """Pieces of text are new again and again where their pre-tokens are not."""
+    tokens, lib = token_files.Tokens(WORDS), Tokenizer.from_file(WORDS)
+    texts = [" ".join(f"{a}{b}{c}" for a in ("can", "it", "'Tis") for c in ("'s", "'tell", ",", "''ve.", "42", "(é)", "'ll'd")) for b in ("a", "b'", "ŏ-", "9", "÷", "'r", "") for _ in (0, 1)]
+    pieces = {p for t in texts for p in t.split()}
+    for _ in range(2):
+        ids, lengths = tokens.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert sum(len(x) for x in vars(tokens).values() if isinstance(x, dict)) < len(pieces) / 2
+
+
+def test_what_was_kept_twice_over_is_made_again(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 20)
+    tokens, lib = token_files.Tokens(WORDS), Tokenizer.from_file(WORDS)
+    for k in range(12):
+        texts = [" ", "", *(f" n{chr(97 + (j * 7 + k) % 26)}x, o{j}" for j in range(30))]
+        ids, lengths = tokens.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
