@@ -22,7 +22,8 @@ chunks by a hash, and each pair of chunks is a group of its own, so no task hold
 Wide fingerprints only lead to pairs. What lies within their radius is joined to components, of which
 pairs of similarity 0.8 never leave; the shingle sets of those with company are made again from the texts,
 meet in their component, and a pair is a link if the exact Jaccard similarity of its sets is at least 0.8. A very large component is divided by
-the first fifth of the hashes, too, so that the sizes of buckets and components decide on the work, and never on a link that was found in smaller ones.
+the first fifth of the hashes, too, so that sizes of buckets and components decide on the work, and not on a pair of similarity 0.8 or more that shares one of
+the 8 smallest hashes. One that shares none (3 in a million) is a link if other texts bring it into one component, which may depend on those sizes.
 
 Defined cases: null or blank texts have fingerprint 0 and are linked like any other (`similar`: to
 their equals only, having no shingle to share); ties
